@@ -11,10 +11,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tillwise.session import scratch_dir
+from tillwise.session import derived_path, scratch_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and write it to the shared checkpoint folder."""
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once and write it as a Parquet table in the shared folder;
+    later reads get column pruning and filter pushdown (for wide line-level data)."""
+    spark = df.sparkSession
+    path = derived_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

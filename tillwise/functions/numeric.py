@@ -18,8 +18,9 @@ MONEY_SCALE = 10000.0
 
 
 def nan_to_null(c: Column) -> Column:
-    """NaN becomes NULL so that every later filter and aggregate sees one missing marker."""
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+    """NaN becomes NULL so that every later filter and aggregate sees one missing marker.
+    (``nanvl`` names the input once, so a pushed-down filter does not repeat it.)"""
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def coerce_double(c: Column) -> Column:

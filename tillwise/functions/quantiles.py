@@ -1,8 +1,10 @@
 """Exact, linearly interpolated quantiles computed as a distributed Spark job.
 
-Definition (the usual "linear" rule): for n values sorted ascending and a
-probability p, let pos = (n - 1) * p, lo = floor(pos), hi = ceil(pos); the
-quantile is v[lo] + (pos - lo) * (v[hi] - v[lo]) with 0-based ranks.
+Definition (the "linear" rule of the common array libraries): for n values
+sorted ascending and a probability p, let pos = (n - 1) * p, g = pos - floor(pos),
+a = v[floor(pos)], b = v[ceil(pos)] (0-based ranks); the quantile is
+a + (b - a) * g when g < 0.5 and b - (b - a) * (1 - g) otherwise. The two-sided
+form is what those libraries evaluate, so results agree to the last bit.
 
 Why not ``percentile`` or ``percentile_approx``: ``percentile`` keeps a
 value -> count map that is merged in ONE task for a global aggregate, so its
@@ -99,8 +101,8 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     qs = []
     for i, p in enumerate(probs):
         lo, hi = F.col(f"_q_lo{i}"), F.col(f"_q_hi{i}")
-        frac = pos(p) - F.floor(pos(p)).cast("double")
-        qs.append(lo + frac * (hi - lo))
+        g = pos(p) - F.floor(pos(p)).cast("double")
+        qs.append(F.when(g >= 0.5, hi - (hi - lo) * (F.lit(1.0) - g)).otherwise(lo + (hi - lo) * g))
     result = picked.select(*[F.col(k) for k in by], F.col(_N).alias(count_col),
                            F.array(*qs).alias(out))
     if materialize:
@@ -116,10 +118,18 @@ def _any(conds: list[Column]) -> Column:
     return out
 
 
+def qcut_probs(q: int) -> list[float]:
+    """Probabilities of the q + 1 edges of q equal-count bins, produced the way
+    the reference's binning produces them: ``linspace(0, 1, q + 1)`` passed on as
+    percentages (x 100, then / 100). For q = 5 the fourth is 0.6000000000000001."""
+    import numpy as np
+    return np.true_divide(np.linspace(0, 1, q + 1) * 100.0, 100).tolist()
+
+
 def quantile_edges(df: DataFrame, value: str, q: int = 5, by: Sequence[str] = (),
                    out: str = "edges") -> DataFrame:
     """Bin edges of ``q`` equal-count bins, repeated edges dropped (ascending)."""
-    probs = [i / q for i in range(q + 1)]
+    probs = qcut_probs(q)
     qs = exact_quantiles(df, value, probs, by=by, out="_q_all")
     return qs.select(*by, F.array_sort(F.array_distinct("_q_all")).alias(out))
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.materialize import materialize as _materialize
+from tillwise.functions.materialize import materialize_table
 from tillwise.functions.numeric import coerce_double
 from tillwise.functions.quantiles import exact_quantiles
 from tillwise.functions.scalars import attach_scalars
@@ -43,10 +44,15 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str] = (QUANTITY, UNIT_PRICE))
 
 
 def positive_only(df: DataFrame, cols: Sequence[str] = (QUANTITY, UNIT_PRICE)) -> DataFrame:
-    """C4: keep rows where every given column is > 0 (NULL fails the test)."""
+    """C4: keep rows where every given column is > 0 (NULL and NaN fail the test;
+    in Spark NaN > 0 is true, so NaN is excluded explicitly)."""
+    types = dict(df.dtypes)
     cond = None
     for c in cols:
-        cond = (F.col(c) > 0) if cond is None else cond & (F.col(c) > 0)
+        ok = F.col(c) > 0
+        if types[c] in ("double", "float"):
+            ok = ok & ~F.isnan(F.col(c))
+        cond = ok if cond is None else cond & ok
     return df.where(cond)
 
 
@@ -125,7 +131,7 @@ def _within(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def clean(raw: DataFrame, order: str = "dedupe_first", outlier_cols: Sequence[str] = LINE_OUTLIER_COLUMNS,
-          k: float = 1.5, materialize: bool = False) -> DataFrame:
+          k: float = 1.5, materialize: bool = True) -> DataFrame:
     """The full cleaning pipeline over raw lines.
 
     ``order='outliers_first'`` (C11): drop missing -> coerce -> positive -> drop
@@ -133,7 +139,9 @@ def clean(raw: DataFrame, order: str = "dedupe_first", outlier_cols: Sequence[st
     ``order='dedupe_first'`` (C12, default): drop missing -> coerce -> positive ->
     drop missing id -> id to int -> TotalPrice recomputed -> dedupe -> IQR cascade.
     The two keep different rows when copies exist, since the quartiles then see
-    different populations.
+    different populations. ``materialize`` writes the lines entering the outlier
+    cascade once to the shared folder (default), instead of computing the
+    upstream (read, coercion, dedupe shuffle) twice.
     """
     cols = [c for c in TX_COLUMNS if c in raw.columns]
     df = drop_missing(raw.select(*cols))
@@ -141,9 +149,13 @@ def clean(raw: DataFrame, order: str = "dedupe_first", outlier_cols: Sequence[st
     df = positive_only(df)
     df = drop_missing(df, [CUSTOMER])
     df = to_int(df)
-    if order == "outliers_first":
-        return dedupe(iqr_cascade(df, outlier_cols, k, materialize))
+    if order not in ("dedupe_first", "outliers_first"):
+        raise ValueError("order must be 'dedupe_first' or 'outliers_first'")
     if order == "dedupe_first":
         df = dedupe(with_total_price(df))
-        return iqr_cascade(df, outlier_cols, k, materialize)
-    raise ValueError("order must be 'dedupe_first' or 'outliers_first'")
+    if materialize:
+        # the cascade reads its input once for the value table and once for the
+        # final filter: write it once (Parquet: the value table reads 3 columns)
+        df = materialize_table(df, "clean-pre-outliers")
+    out = iqr_cascade(df, outlier_cols, k)
+    return dedupe(out) if order == "outliers_first" else out

@@ -8,7 +8,7 @@ engine with md5 can reproduce it. Metrics are one aggregate each.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -26,7 +26,7 @@ def split_threshold(test_fraction: float) -> str:
     """The 32-hex-digit md5 cut below which a row goes to the test part."""
     if not 0.0 < test_fraction < 1.0:
         raise ValueError("test_fraction must lie in (0, 1)")
-    return format(int(Decimal(str(test_fraction)) * (16 ** 32)), "032x")
+    return format(int(Fraction(str(test_fraction)) * (16 ** 32)), "032x")
 
 
 def hash_split(df: DataFrame, key: str = CUSTOMER, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:

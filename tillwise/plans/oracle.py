@@ -120,11 +120,32 @@ FROM rfm_base"""),
     ]
 
 
-_PROBS = "[0.0, 0.2, 0.4, 0.6, 0.8, 1.0]"
+def _qcut_probs(q: int = 5) -> list[float]:
+    """linspace(0, 1, q + 1) passed on as percentages (x 100, / 100), as the
+    reference's binning does; the fourth of six is 0.6000000000000001."""
+    import numpy as np
+    return np.true_divide(np.linspace(0, 1, q + 1) * 100.0, 100).tolist()
 
 
-def _edges(col: str) -> str:
-    return f"list_sort(list_distinct(quantile_cont(CAST({col} AS DOUBLE), {_PROBS})))"
+def _sorted(col: str) -> str:
+    """Aggregate: the non-missing values of ``col`` as a sorted DOUBLE list."""
+    x = f"CAST({col} AS DOUBLE)"
+    return f"list({x} ORDER BY {x}) FILTER (WHERE {col} IS NOT NULL AND NOT isnan({x}))"
+
+
+def _qx(lst: str, p: float) -> str:
+    """Linear quantile of a sorted list, written out: pos = (n - 1) * p,
+    g = frac(pos); a + (b - a) * g if g < 0.5 else b - (b - a) * (1 - g)."""
+    pos = f"(CAST(len({lst}) - 1 AS DOUBLE) * CAST('{p!r}' AS DOUBLE))"
+    g = f"({pos} - floor({pos}))"
+    a = f"{lst}[CAST(floor({pos}) AS BIGINT) + 1]"
+    b = f"{lst}[CAST(ceil({pos}) AS BIGINT) + 1]"
+    return (f"(CASE WHEN len({lst}) = 0 THEN NULL WHEN {g} >= 0.5 THEN {b} - ({b} - {a}) * (1 - {g}) "
+            f"ELSE {a} + ({b} - {a}) * {g} END)")
+
+
+def _edges_of(lst: str) -> str:
+    return "list_sort(list_distinct([" + ", ".join(_qx(lst, p) for p in _qcut_probs()) + "]))"
 
 
 def _bin(edges: str, col: str, reverse: bool) -> str:
@@ -136,8 +157,10 @@ def _bin(edges: str, col: str, reverse: bool) -> str:
 
 def _score_ctes(src: str = "rfm") -> list[tuple[str, str]]:
     return [
-        ("edges", f"SELECT {_edges('Recency')} AS er, {_edges('Frequency')} AS ef, "
-                  f"{_edges('Monetary')} AS em FROM {src}"),
+        ("lists", f"SELECT {_sorted('Recency')} AS lr, {_sorted('Frequency')} AS lf, "
+                  f"{_sorted('Monetary')} AS lm FROM {src}"),
+        ("edges", f"SELECT {_edges_of('lr')} AS er, {_edges_of('lf')} AS ef, {_edges_of('lm')} AS em "
+                  f"FROM lists"),
         ("scored0", f"""
 SELECT s.*, {_bin('er', 'Recency', True)} AS R_score,
        {_bin('ef', 'Frequency', False)} AS F_score,
@@ -175,7 +198,8 @@ SELECT Segment, count(*) AS count FROM seg WHERE Segment IS NOT NULL GROUP BY Se
 
 def _iqr_step(src: str, col: str, name: str) -> list[tuple[str, str]]:
     return [
-        (f"{name}_b", f"SELECT quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.75) AS q3 FROM {src}"),
+        (f"{name}_b", f"SELECT {_qx('l', 0.25)} AS q1, {_qx('l', 0.75)} AS q3 "
+                      f"FROM (SELECT {_sorted(col)} AS l FROM {src})"),
         (name, f"""
 SELECT s.* FROM {src} s CROSS JOIN {name}_b b
 WHERE s.{col} >= b.q1 - 1.5 * (b.q3 - b.q1) AND s.{col} <= b.q3 + 1.5 * (b.q3 - b.q1)"""),
@@ -226,12 +250,13 @@ def _describe_rows(src: str, cols: list[str], by: str | None = None) -> str:
         key = f"{by}, " if by else ""
         group = f" GROUP BY {by}" if by else ""
         parts.append(f"""
-SELECT {key}'{c}' AS "column", count({c}) AS count,
-       round(avg(CAST({c} AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std,
-       CAST(min({c}) AS DOUBLE) AS min,
-       quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q50,
-       quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75, CAST(max({c}) AS DOUBLE) AS max
-FROM {src}{group}""")
+SELECT {key}"column", count, mean, std, min,
+       {_qx('l', 0.25)} AS q25, {_qx('l', 0.5)} AS q50, {_qx('l', 0.75)} AS q75, max
+FROM (
+  SELECT {key}'{c}' AS "column", count({c}) AS count,
+         round(avg(CAST({c} AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std,
+         CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, {_sorted(c)} AS l
+  FROM {src}{group})""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -326,8 +351,8 @@ SELECT '{c}' AS "column", b.q1, b.median, b.q3,
        min(CASE WHEN t.{c} >= b.q1 - 1.5 * (b.q3 - b.q1) THEN t.{c} END) AS whisker_low,
        max(CASE WHEN t.{c} <= b.q3 + 1.5 * (b.q3 - b.q1) THEN t.{c} END) AS whisker_high,
        count_if(t.{c} < b.q1 - 1.5 * (b.q3 - b.q1) OR t.{c} > b.q3 + 1.5 * (b.q3 - b.q1)) AS n_fliers
-FROM tx t CROSS JOIN (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median,
-                             quantile_cont({c}, 0.75) AS q3 FROM tx) b
+FROM tx t CROSS JOIN (SELECT {_qx('l', 0.25)} AS q1, {_qx('l', 0.5)} AS median,
+                             {_qx('l', 0.75)} AS q3 FROM (SELECT {_sorted(c)} AS l FROM tx)) b
 WHERE t.{c} IS NOT NULL
 GROUP BY b.q1, b.median, b.q3""")
     q["p8_boxplot_stats"] = _with(("tx", TX), final="\nUNION ALL\n".join(box_parts))
@@ -354,9 +379,10 @@ SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (
     q["c6_total_price_dirty"] = _with(*base, final="SELECT * REPLACE (Quantity * UnitPrice AS TotalPrice) FROM c5")
     q["c7_dedupe_dirty"] = _with(*base, final="SELECT DISTINCT * REPLACE (Quantity * UnitPrice AS TotalPrice) FROM c5")
     q["c8_iqr_quantity"] = _with(("tx", TX), *_iqr_step("tx", "Quantity", "s0"), final="SELECT * FROM s0")
-    q["c8_iqr_bounds_total_price"] = _with(("tx", TX), final="""
+    q["c8_iqr_bounds_total_price"] = _with(("tx", TX), final=f"""
 SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS lower_bound, q3 + 1.5 * (q3 - q1) AS upper_bound
-FROM (SELECT quantile_cont(TotalPrice, 0.25) AS q1, quantile_cont(TotalPrice, 0.75) AS q3 FROM tx)""")
+FROM (SELECT {_qx('l', 0.25)} AS q1, {_qx('l', 0.75)} AS q3
+      FROM (SELECT {_sorted('TotalPrice')} AS l FROM tx))""")
     casc, last = _cascade("tx", _LINE_NUM, "s")
     q["c9_iqr_cascade"] = _with(("tx", TX), *casc, final=f"SELECT * FROM {last}")
     casc, last = _cascade("seg", ["Recency", "Frequency", "Monetary"], "k")
@@ -385,7 +411,8 @@ LEFT JOIN d ON p.StockCode = d.StockCode AND d.rn = 1""")
         "SELECT max(InvoiceDate) + INTERVAL 1 DAY AS ReferenceDate FROM tx")
     q["r3_recency_clock"] = _with(("tx", CLOCK), *_rfm_ctes("tx"), final="SELECT CustomerID, Recency FROM rfm")
     q["r6_rfm"] = _with(("tx", TX), *_rfm_ctes("tx"), final="SELECT * FROM rfm")
-    q["r7_strict_monetary"] = _with(("tx", TX), *_rfm_ctes("tx"), ("e", f"SELECT {_edges('Monetary')} AS em FROM rfm"),
+    q["r7_strict_monetary"] = _with(("tx", TX), *_rfm_ctes("tx"),
+        ("e", f"SELECT {_edges_of('lm')} AS em FROM (SELECT {_sorted('Monetary')} AS lm FROM rfm)"),
         final=f"SELECT CustomerID, {_bin('em', 'Monetary', False)} AS M_score FROM rfm CROSS JOIN e "
               f"WHERE (SELECT len(em) FROM e) = 6")
     for name, fx in (("r8_scores", TX), ("r8_scores_h1", H1), ("r8_scores_y2", Y2)):
@@ -456,7 +483,7 @@ FROM parts WHERE NOT is_test""")
 SELECT regr_slope(CLV, CAST(Frequency AS DOUBLE)) AS slope, regr_intercept(CLV, CAST(Frequency AS DOUBLE)) AS intercept
 FROM parts WHERE NOT is_test"""), ("pred", """
 SELECT CLV, intercept + slope * Frequency AS prediction FROM parts CROSS JOIN fit WHERE is_test"""), final="""
-SELECT round(avg(abs(CLV - prediction)), 6) AS mae, round(avg((CLV - prediction) * (CLV - prediction)), 6) AS mse,
+SELECT round(avg(abs(CLV - prediction)), 2) AS mae, round(avg((CLV - prediction) * (CLV - prediction)), 2) AS mse,
        round(1 - sum((CLV - prediction) * (CLV - prediction)) / nullif(var_pop(CLV) * count(CLV), 0), 6) AS r2
 FROM pred""")
 

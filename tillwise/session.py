@@ -55,6 +55,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or "
+                               "an object store); a machine-local folder would not survive "
+                               "a lost executor")
         configured = tempfile.mkdtemp(prefix="tillwise-ckpt-")
     sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
