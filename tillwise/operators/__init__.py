@@ -1,0 +1 @@
+"""The analysis operators: profiling, cleaning, RFM, products, customers, segments, models."""

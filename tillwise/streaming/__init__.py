@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysis this library rebuilds is a batch analysis of one transaction table:
+it has no streams, event-time windows, watermarks or stateful processing, so no
+streaming operator is provided. Every operator here is a plain DataFrame
+function and can be applied to a micro-batch DataFrame by the caller.
+"""
