@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.functions.materialize import materialize
 from tillwise.functions.scalars import attach_scalars
 from tillwise.operators.rfm import LAST_PURCHASE, last_purchase, rfm_segmented
 from tillwise.schema import (
@@ -23,7 +24,7 @@ def churn_threshold(tx: DataFrame, days: int = 90) -> DataFrame:
 
 def churned_customers(tx: DataFrame, days: int = 90) -> DataFrame:
     """CH2: customers whose last purchase is strictly before the threshold."""
-    last = last_purchase(tx)
+    last = materialize(last_purchase(tx))  # read twice: threshold and filter
     thr = last.agg(F.timestamp_add("DAY", F.lit(-days), F.max(LAST_PURCHASE)).alias(CHURN_THRESHOLD))
     return (attach_scalars(last, thr).where(F.col(LAST_PURCHASE) < F.col(CHURN_THRESHOLD))
             .select(CUSTOMER, LAST_PURCHASE))

@@ -54,13 +54,14 @@ def rfm(tx: DataFrame, churn_days: int | None = None) -> DataFrame:
     With ``churn_days`` the same single aggregate also yields CH3's flag:
     Churn = 1 when the customer's last purchase is strictly before the latest
     purchase overall minus ``churn_days`` days."""
-    per_customer = tx.groupBy(CUSTOMER).agg(
+    # one pass over the lines; the customer-level result is written once because
+    # the dataset-wide latest purchase (= the latest of the per-customer maxima)
+    # is read from it: a column-pruned second evaluation would re-read the lines
+    per_customer = materialize(tx.groupBy(CUSTOMER).agg(
         F.max(INVOICE_DATE).alias(LAST_PURCHASE),
         F.count_distinct(INVOICE).alias(FREQUENCY),
         money_sum(F.col(TOTAL_PRICE)).alias(MONETARY),
-    )
-    # the latest purchase overall is the latest of the per-customer maxima, so the
-    # reference instant comes from the (much smaller) aggregate, not a second pass
+    ))
     latest = F.max(LAST_PURCHASE)
     scalars = [F.timestamp_add("DAY", F.lit(1), latest).alias(REFERENCE_DATE)]
     if churn_days is not None:
