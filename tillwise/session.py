@@ -42,6 +42,32 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large cluster, sized from the input volume and core count.
+
+    - file splits of ``target_partition_bytes`` (one task reads ~256 MB),
+    - initial shuffle partitions so one partition holds ~256 MB of the input
+      (at least 2 waves of the cores), coalesced at run time by AQE towards
+      128 MB per partition,
+    - AQE skew join: a partition 5x the median and above 512 MB is split, which
+      covers a key that holds a large share of the lines in the one line-level join,
+    - broadcast only what AQE measured below 64 MB.
+    """
+    shuffle = max(2 * cores, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and derived tables.
 
