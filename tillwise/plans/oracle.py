@@ -387,6 +387,7 @@ FROM (SELECT {_qx('l', 0.25)} AS q1, {_qx('l', 0.75)} AS q3
     q["c9_iqr_cascade"] = _with(("tx", TX), *casc, final=f"SELECT * FROM {last}")
     casc, last = _cascade("seg", ["Recency", "Frequency", "Monetary"], "k")
     q["c10_iqr_cascade_rfm"] = _with(*_segmented(TX), *casc, final=f"SELECT {_RFM_COLS} FROM {last}")
+    q["c10_iqr_cascade_rfm_csv"] = q["c10_iqr_cascade_rfm"]
     ctes11, last11 = _clean("outliers_first")
     q["c11_clean_outliers_first"] = _with(*ctes11, final=f"SELECT * FROM {last11}")
     q["c12_clean_dedupe_first"] = _with(*ctes12, final=f"SELECT * FROM {last12}")

@@ -179,6 +179,13 @@ def c10_iqr_cascade_rfm(spark, d):
     return C.iqr_cascade(_scored(spark, d), C.RFM_OUTLIER_COLUMNS)
 
 
+def c10_iqr_cascade_rfm_csv(spark, d):
+    """C10 as the reference runs it: on the customer table read from CSV."""
+    path = derived_path(spark, "c10-rfm-csv")
+    S.write_rfm_csv(_scored(spark, d), path)
+    return C.iqr_cascade(S.read_rfm(spark, path), C.RFM_OUTLIER_COLUMNS)
+
+
 def c11_clean_outliers_first(spark, d):
     return C.clean(_dirty(spark, d), order="outliers_first")
 
@@ -441,6 +448,7 @@ def queries() -> dict[str, Query]:
         "c8_iqr_bounds_total_price": c8_iqr_bounds_total_price,
         "c9_iqr_cascade": c9_iqr_cascade,
         "c10_iqr_cascade_rfm": c10_iqr_cascade_rfm,
+        "c10_iqr_cascade_rfm_csv": c10_iqr_cascade_rfm_csv,
         "c11_clean_outliers_first": c11_clean_outliers_first,
         "c12_clean_dedupe_first": c12_clean_dedupe_first,
         "e1_customers": e1_customers,
