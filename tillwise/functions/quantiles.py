@@ -19,10 +19,10 @@ Plan, all DataFrame operators, no collect:
 2. ``repartitionByRange(keys, v)`` - contiguous, ordered value ranges; each
    range partition gets an id (``spark_partition_id``). A group that holds a third
    of all rows is spread over many range partitions.
-3. Running count inside each range partition (window by partition id), the
-   partition totals (one row per partition and group), and their prefix sums
-   (a window over those few rows) give every distinct value its global rank span
-   [before, after).
+3. Running count and total inside each range partition (one window pass by
+   partition id), then the prefix sums of the partition totals (a window over
+   one row per partition and group) give every distinct value its global rank
+   span [before, after).
 4. Only the rows whose span covers a wanted rank survive the filter; one small
    aggregate per group interpolates.
 """
@@ -58,16 +58,20 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     src = df.select(*[F.col(k) for k in by], vcol.cast("double").alias(_V), wcol.alias("_q_w"))
     if not by:
         src = src.withColumn(_K, F.lit(0))
-    src = src.where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)))
+    src = src.where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)) & (F.col("_q_w") > 0))
 
     counted = src.groupBy(*keys, _V).agg(F.sum("_q_w").alias(_C))
     ranged = counted.repartitionByRange(*keys, _V).withColumn(_PID, F.spark_partition_id())
 
-    running = Window.partitionBy(_PID, *keys).orderBy(_V).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn(_CIN, F.sum(_C).over(running))
+    part = Window.partitionBy(_PID, *keys)
+    running = part.orderBy(_V).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (ranged.withColumn(_CIN, F.sum(_C).over(running))
+                   .withColumn("_q_ptot", F.sum(_C).over(part)))
 
-    totals = local.groupBy(_PID, *keys).agg(F.max(_CIN).alias("_q_ptot"))
+    # values are distinct within a partition and counts positive, so exactly the
+    # last row of each (partition, group) has running count == partition total:
+    # the totals come out of the same window pass, without another aggregate
+    totals = local.where(F.col(_CIN) == F.col("_q_ptot")).select(_PID, *keys, "_q_ptot")
     prefix = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     offsets = totals.select(

@@ -28,16 +28,21 @@ def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFram
     """C1 (all columns) / C2 (``subset``): drop rows with a missing value.
     Floating NaN counts as missing, as it does in a dataframe library."""
     cols = list(subset) if subset is not None else df.columns
-    types = dict(df.dtypes)
     cond = None
     for c in cols:
-        ok = F.col(c).isNotNull()
-        if types[c] in ("double", "float"):
-            ok = ok & ~F.isnan(F.col(c))
+        ok = _nan_as_null(df, c).isNotNull()
         cond = ok if cond is None else cond & ok
     return df if cond is None else df.where(cond)
 
 
+def _nan_as_null(df: DataFrame, c: str):
+    """The column with NaN read as NULL, naming the column once: a predicate on it
+    that Catalyst pushes below a projection then inlines that projection once."""
+    if dict(df.dtypes)[c] in ("double", "float"):
+        return F.nanvl(F.col(c), F.lit(None).cast("double"))
+    return F.col(c)
+
+
 def coerce_numeric(df: DataFrame, cols: Sequence[str] = (QUANTITY, UNIT_PRICE)) -> DataFrame:
     """Text to double; text that is not a number becomes NULL (never an error)."""
     return df.withColumns({c: coerce_double(F.col(c)) for c in cols})
@@ -46,12 +51,9 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str] = (QUANTITY, UNIT_PRICE))
 def positive_only(df: DataFrame, cols: Sequence[str] = (QUANTITY, UNIT_PRICE)) -> DataFrame:
     """C4: keep rows where every given column is > 0 (NULL and NaN fail the test;
     in Spark NaN > 0 is true, so NaN is excluded explicitly)."""
-    types = dict(df.dtypes)
     cond = None
     for c in cols:
-        ok = F.col(c) > 0
-        if types[c] in ("double", "float"):
-            ok = ok & ~F.isnan(F.col(c))
+        ok = _nan_as_null(df, c) > 0
         cond = ok if cond is None else cond & ok
     return df.where(cond)
 
