@@ -30,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # hash-partition the lines on the order key: the order join needs exactly this
+    # partitioning when it is a sort-merge join (large orders), so it costs no
+    # extra shuffle there; when orders is small enough to be broadcast it spreads
+    # the line-level work over all cores even if a file holds a single row group
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity",
-                                                "l_extendedprice")
+                                                "l_extendedprice").repartition("l_orderkey")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
