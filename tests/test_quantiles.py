@@ -77,3 +77,10 @@ def test_all_equal_column_gives_null(spark):
 
 def test_qcut_probs_follow_linspace():
     assert qcut_probs(5) == [0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0]
+
+
+def test_null_group_key_is_a_group(spark):
+    pdf = pd.DataFrame({"g": ["a", None, None, "a", None], "v": [1.0, 2.0, 4.0, 3.0, 6.0]})
+    res = {r["g"]: list(r["q"]) for r in
+           exact_quantiles(spark.createDataFrame(pdf), "v", [0.5], by=["g"]).collect()}
+    assert res == {"a": [2.0], None: [4.0]}

@@ -79,10 +79,16 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         (F.sum("_q_ptot").over(prefix) - F.col("_q_ptot")).alias(_OFF),
         F.sum("_q_ptot").over(Window.partitionBy(*keys)).alias(_N))
 
-    spans = local.join(offsets, [_PID, *keys]).select(
-        *keys, _V, _N,
-        (F.col(_OFF) + F.col(_CIN) - F.col(_C)).alias("_q_before"),
-        (F.col(_OFF) + F.col(_CIN)).alias("_q_after"))
+    # null-safe on the group keys: a NULL group is a group like any other
+    lo, of = local.alias("_q_l"), offsets.alias("_q_o")
+    cond = F.col(f"_q_l.{_PID}") == F.col(f"_q_o.{_PID}")
+    for k in keys:
+        cond = cond & F.col(f"_q_l.{k}").eqNullSafe(F.col(f"_q_o.{k}"))
+    spans = lo.join(of, cond).select(
+        *[F.col(f"_q_l.{k}").alias(k) for k in keys], F.col(f"_q_l.{_V}").alias(_V),
+        F.col(f"_q_o.{_N}").alias(_N),
+        (F.col(f"_q_o.{_OFF}") + F.col(f"_q_l.{_CIN}") - F.col(f"_q_l.{_C}")).alias("_q_before"),
+        (F.col(f"_q_o.{_OFF}") + F.col(f"_q_l.{_CIN}")).alias("_q_after"))
 
     def pos(p: float) -> Column:
         return (F.col(_N) - 1).cast("double") * F.lit(p)
