@@ -82,3 +82,22 @@ def test_drop_missing_treats_nan_as_missing(spark):
     assert C.drop_missing(df).count() == 1
     assert C.drop_missing(df, ["a"]).count() == 2
     assert C.positive_only(df.withColumn("UnitPrice", F.lit(1.0)).withColumnRenamed("a", "Quantity")).count() == 2
+
+
+def test_reader_matches_columns_by_name(spark, tmp_path):
+    from tillwise.sources.files import read_rfm, read_transactions
+    p = tmp_path / "lines.csv"
+    p.write_text("CheckBlank,Country,InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,"
+                 "CustomerID,Unnamed: 8,TotalPrice\n"
+                 "x,UK,536365,85123A,LANTERN,6,2010-12-01 08:26:00,2.55,17850.0,,15.3\n"
+                 "y,FR,536366,22633,HAND WARMER,n/a,2010-12-01 08:28:00,1.85,NA,,11.1\n")
+    got = read_transactions(spark, str(p)).collect()
+    assert got[0]["Country"] == "UK" and got[0]["TotalPrice"] == 15.3 and got[0]["CustomerID"] == 17850.0
+    assert got[0]["InvoiceDate"].hour == 8 and got[0]["Quantity"] == "6"
+    # NA and n/a are default missing markers of a dataframe reader
+    assert got[1]["CustomerID"] is None and got[1]["Quantity"] is None
+    r = tmp_path / "rfm.csv"
+    r.write_text("Segment,CustomerID,Recency,Frequency,Monetary,R_score,F_score,M_score,RFM_Score\n"
+                 "Lost Customers,12346.0,326,1,77183.6,1,1,5,115\n")
+    row = read_rfm(spark, str(r)).first()
+    assert row["CustomerID"] == 12346 and row["Segment"] == "Lost Customers" and row["RFM_Score"] == 115

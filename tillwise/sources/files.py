@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwise.schema import RAW_TX_SCHEMA, RFM_SCHEMA, TX_COLUMNS
+from tillwise.schema import RAW_TX_SCHEMA, RFM_SCHEMA
 
 # Text a dataframe CSV reader takes as missing by default.
 MISSING_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -27,43 +27,46 @@ JUNK_COLUMNS = ["Unnamed: 8", "CheckBlank"]
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
                       header: bool = True) -> DataFrame:
-    """Raw transaction lines with the declared raw schema; junk columns are dropped."""
+    """Raw transaction lines with the declared raw schema.
+
+    Columns are matched by NAME (a header CSV is read as text, no inference pass),
+    so column order and extra columns such as the junk ``Unnamed: 8`` /
+    ``CheckBlank`` do not matter; a declared column that is absent reads as NULL.
+    """
     if fmt == "parquet":
         df = spark.read.parquet(path)
-        keep = [c for c in df.columns if c not in JUNK_COLUMNS]
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in RAW_TX_SCHEMA.fields
-                           if f.name in keep])
-    if fmt != "csv":
+    elif fmt == "csv":
+        df = spark.read.option("header", header).option("mode", "PERMISSIVE").csv(path)
+    else:
         raise ValueError(f"unsupported format {fmt!r}; export spreadsheets to csv or parquet")
-    fields = list(RAW_TX_SCHEMA.fields)
-    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
-    df = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in fields]
-                                    + [T.StructField(c, T.StringType()) for c in JUNK_COLUMNS])
-                       ).csv(path)
-    out = []
-    for f in fields:
-        c = _missing_to_null(F.col(f.name))
-        if isinstance(f.dataType, T.StringType):
-            out.append(c.alias(f.name))
-        else:
-            out.append(c.try_cast(f.dataType).alias(f.name))
-    return df.select(*out).select(*TX_COLUMNS)
+    return _typed(df, RAW_TX_SCHEMA, text=(fmt == "csv"))
 
 
 def read_rfm(spark: SparkSession, path: str) -> DataFrame:
     """The precomputed customer table (header CSV) with the declared RFM schema."""
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in RFM_SCHEMA.fields])
-    df = spark.read.option("header", True).schema(text).csv(path)
+    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return _typed(df, RFM_SCHEMA, text=True)
+
+
+def _typed(df: DataFrame, schema: T.StructType, text: bool) -> DataFrame:
+    present = set(df.columns)
     out = []
-    for f in RFM_SCHEMA.fields:
-        c = _missing_to_null(F.col(f.name))
+    for f in schema.fields:
+        if f.name not in present:
+            out.append(F.lit(None).cast(f.dataType).alias(f.name))
+            continue
+        c = F.col(f"`{f.name}`")
+        if text:
+            c = _missing_to_null(c)
         if isinstance(f.dataType, T.StringType):
-            out.append(c.alias(f.name))
-        elif isinstance(f.dataType, (T.IntegerType, T.LongType)):
+            out.append(c.cast("string").alias(f.name))
+        elif text and isinstance(f.dataType, (T.IntegerType, T.LongType)):
             # integer columns written by a dataframe library may carry '.0'
             out.append(c.try_cast("double").cast(f.dataType).alias(f.name))
-        else:
+        elif text:
             out.append(c.try_cast(f.dataType).alias(f.name))
+        else:
+            out.append(c.cast(f.dataType).alias(f.name))
     return df.select(*out)
 
 
