@@ -10,7 +10,7 @@ from tillwise.functions.materialize import materialize
 from tillwise.functions.scalars import attach_scalars
 from tillwise.operators.rfm import LAST_PURCHASE, last_purchase, rfm_segmented
 from tillwise.schema import (
-    CHURN, CLV, COUNTRY, CUSTOMER, DESCRIPTION, F_SCORE, FREQUENCY, INVOICE, INVOICE_DATE, M_SCORE,
+    CHURN, CLV, COUNTRY, CUSTOMER, F_SCORE, FREQUENCY, INVOICE, INVOICE_DATE, M_SCORE,
     MONETARY, QUANTITY, R_SCORE, RECENCY, RFM_SCORE, SEGMENT, STOCK, UNIT_PRICE,
 )
 
