@@ -71,3 +71,15 @@ def test_profiles(spark):
     assert box["n_fliers"] == ((x < lo) | (x > hi)).sum()
     dv = P.distinct_values(tx, ["Country"], k=5).toPandas()
     assert dv["value"].tolist() == sorted(pdf["Country"].unique())[:5]
+
+
+def test_describe_datetime_matches_pandas(spark):
+    from tillwise.sources.testdata import clock_lines
+    for lines in (retail_lines(spark, SF_SMALL), clock_lines(spark, SF_SMALL)):
+        pdf = lines.toPandas()
+        desc = pdf["InvoiceDate"].describe()
+        got = P.describe_datetime(lines).first()
+        assert got["count"] == desc["count"]
+        for ours, theirs in [("mean", "mean"), ("min", "min"), ("q25", "25%"), ("q50", "50%"),
+                             ("q75", "75%"), ("max", "max")]:
+            assert pd.Timestamp(got[ours]) == pd.Timestamp(desc[theirs]).floor("us"), ours

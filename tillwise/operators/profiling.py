@@ -86,6 +86,39 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return grouped_describe(df, list(cols) if cols is not None else columns_of_type(df, "numeric"))
 
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def describe_datetime(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """P3 for date-time columns: column, count, mean, min, q25, q50, q75, max
+    (no deviation). Computed on microseconds since 1970-01-01 without any time
+    zone (``timestamp_diff`` on ``timestamp_ntz``); mean and quartiles are
+    truncated to the microsecond."""
+    if cols is None:
+        cols = [f.name for f in df.schema.fields
+                if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType))]
+    epoch = F.lit(_EPOCH).cast("timestamp_ntz")
+    structs = [F.struct(F.lit(c).alias("column"),
+                        F.timestamp_diff("MICROSECOND", epoch, F.col(c).cast("timestamp_ntz")).alias("us"))
+               for c in cols]
+    long = df.select(F.explode(F.array(*structs)).alias("_s")).select("_s.column", "_s.us")
+
+    def back(us):
+        return F.timestamp_add("MICROSECOND", us, epoch)
+
+    moments = long.groupBy("column").agg(
+        # exact integer sum, then one division: independent of summation order
+        F.count("us").alias("count"),
+        (F.sum(F.col("us").cast("decimal(38,0)")).cast("double") / F.count("us")).alias("_mean"),
+        F.min("us").alias("_min"), F.max("us").alias("_max"))
+    qs = exact_quantiles(long, "us", [0.25, 0.5, 0.75], by=["column"], out="_q", count_col="_qn")
+    j = moments.join(qs, "column", "left")
+    trunc = lambda c: F.col(c).cast("long")  # noqa: E731  (double -> long truncates)
+    return j.select("column", "count", back(trunc("_mean")).alias("mean"), back(F.col("_min")).alias("min"),
+                    back(F.col("_q")[0].cast("long")).alias("q25"), back(F.col("_q")[1].cast("long")).alias("q50"),
+                    back(F.col("_q")[2].cast("long")).alias("q75"), back(F.col("_max")).alias("max"))
+
+
 def preview(df: DataFrame, n: int = 5, order: Sequence[str] | None = None) -> DataFrame:
     """The first n rows by a key (all columns when no key is given)."""
     return df.orderBy(*(order or df.columns)).limit(n)

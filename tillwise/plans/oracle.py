@@ -334,6 +334,20 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{c}' AS \"column\", '{_TX_TYPES[c]}' AS dtype, count({c}) AS non_null FROM tx"
         for c in _TX_COLS))
     q["p3_describe"] = _with(("tx", TX), final=_describe_rows("tx", _NUMERIC_COLS))
+    def _dt(fixture: str) -> str:
+        x = "CAST(epoch_us(InvoiceDate) AS DOUBLE)"
+        back = "make_timestamp(CAST(trunc({}) AS BIGINT))"
+        return _with(("tx", fixture), ("m", f"""
+SELECT count(InvoiceDate) AS count,
+       CAST(sum(epoch_us(InvoiceDate)) AS DOUBLE) / count(InvoiceDate) AS mean_us, min(InvoiceDate) AS min,
+       max(InvoiceDate) AS max, list({x} ORDER BY {x}) FILTER (WHERE InvoiceDate IS NOT NULL) AS l
+FROM tx"""), final=f"""
+SELECT 'InvoiceDate' AS "column", count, {back.format('mean_us')} AS mean, min,
+       {back.format(_qx('l', 0.25))} AS q25, {back.format(_qx('l', 0.5))} AS q50,
+       {back.format(_qx('l', 0.75))} AS q75, max
+FROM m""")
+    q["p3b_describe_datetime"] = _dt(TX)
+    q["p3b_describe_datetime_clock"] = _dt(CLOCK)
     q["p4_preview"] = _with(("tx", TX), final=f"SELECT * FROM tx ORDER BY {', '.join(_TX_COLS)} LIMIT 5")
     q["p5_nunique"] = _with(("tx", TX), final=_per_column("tx", _TX_COLS, "count(DISTINCT {c})", "nunique"))
     q["p6_null_counts_dirty"] = _with(("dirty", DIRTY), final="\nUNION ALL\n".join(

@@ -99,6 +99,14 @@ def p3_describe(spark, d):
     return P.describe(_tx(spark, d))
 
 
+def p3b_describe_datetime(spark, d):
+    return P.describe_datetime(_tx(spark, d))
+
+
+def p3b_describe_datetime_clock(spark, d):
+    return P.describe_datetime(TD.clock_lines(spark, d))
+
+
 def p4_preview(spark, d):
     return P.preview(_tx(spark, d), 5)
 
@@ -428,6 +436,8 @@ def queries() -> dict[str, Query]:
         "p1_shape": p1_shape,
         "p2_column_info": p2_column_info,
         "p3_describe": p3_describe,
+        "p3b_describe_datetime": p3b_describe_datetime,
+        "p3b_describe_datetime_clock": p3b_describe_datetime_clock,
         "p4_preview": p4_preview,
         "p5_nunique": p5_nunique,
         "p6_null_counts_dirty": p6_null_counts_dirty,
