@@ -97,3 +97,11 @@ def test_churned_customers_threshold_is_strict(spark):
     assert CU.churned_customers(tx).count() == int((last < thr).sum())
     flagged = CU.churn_flag(R.rfm(tx), tx)
     assert flagged.where("Churn = 1").count() == int((last < thr).sum())
+
+
+def test_one_pass_customer_table_equals_joined_country(spark):
+    tx = retail_lines(spark, SF_SMALL)
+    one = CU.customer_table(tx).toPandas().set_index("CustomerID").sort_index()
+    joined = CU.with_country(CU.with_clv(R.rfm_segmented(tx, churn_days=90)), tx).toPandas()
+    joined = joined.set_index("CustomerID").sort_index()[one.columns]
+    assert one.equals(joined)

@@ -62,8 +62,8 @@ def with_country(customers: DataFrame, tx: DataFrame) -> DataFrame:
 def customer_table(tx: DataFrame, churn_days: int = 90, q: int = 5) -> DataFrame:
     """E1 + churn + CLV: one row per customer with id, country, R/F/M, scores,
     RFM score, segment, Churn and CLV (the full analysis table)."""
-    scored = rfm_segmented(tx, q=q, churn_days=churn_days)
-    return with_country(with_clv(scored), tx)
+    # churn flag and home country come out of the one RFM aggregate over the lines
+    return with_clv(rfm_segmented(tx, q=q, churn_days=churn_days, country=True))
 
 
 def customers(tx: DataFrame, q: int = 5) -> DataFrame:

@@ -18,7 +18,7 @@ from tillwise.functions.numeric import money_sum
 from tillwise.functions.quantiles import bin_by_edges, quantile_edges
 from tillwise.functions.scalars import attach_scalars
 from tillwise.schema import (
-    CUSTOMER, F_SCORE, FREQUENCY, INVOICE, INVOICE_DATE, M_SCORE, MONETARY, R_SCORE, RECENCY,
+    COUNTRY, CUSTOMER, F_SCORE, FREQUENCY, INVOICE, INVOICE_DATE, M_SCORE, MONETARY, R_SCORE, RECENCY,
     RFM_SCORE, SEGMENT, TOTAL_PRICE,
 )
 
@@ -47,21 +47,23 @@ def reference_date(tx: DataFrame, days: int = 1) -> DataFrame:
     return tx.agg(F.timestamp_add("DAY", F.lit(days), F.max(INVOICE_DATE)).alias(REFERENCE_DATE))
 
 
-def rfm(tx: DataFrame, churn_days: int | None = None) -> DataFrame:
+def rfm(tx: DataFrame, churn_days: int | None = None, country: bool = False) -> DataFrame:
     """CustomerID, Recency (whole elapsed days to the reference date),
     Frequency (distinct invoices), Monetary (exact money sum).
 
     With ``churn_days`` the same single aggregate also yields CH3's flag:
     Churn = 1 when the customer's last purchase is strictly before the latest
-    purchase overall minus ``churn_days`` days."""
+    purchase overall minus ``churn_days`` days. With ``country`` the customer's
+    most frequent Country (smallest on ties, CL2) comes from the same pass."""
     # one pass over the lines; the customer-level result is written once because
     # the dataset-wide latest purchase (= the latest of the per-customer maxima)
     # is read from it: a column-pruned second evaluation would re-read the lines
-    per_customer = materialize(tx.groupBy(CUSTOMER).agg(
-        F.max(INVOICE_DATE).alias(LAST_PURCHASE),
-        F.count_distinct(INVOICE).alias(FREQUENCY),
-        money_sum(F.col(TOTAL_PRICE)).alias(MONETARY),
-    ))
+    aggs = [F.max(INVOICE_DATE).alias(LAST_PURCHASE),
+            F.count_distinct(INVOICE).alias(FREQUENCY),
+            money_sum(F.col(TOTAL_PRICE)).alias(MONETARY)]
+    if country:
+        aggs.append(F.mode(COUNTRY, True).alias(COUNTRY))
+    per_customer = materialize(tx.groupBy(CUSTOMER).agg(*aggs))
     latest = F.max(LAST_PURCHASE)
     scalars = [F.timestamp_add("DAY", F.lit(1), latest).alias(REFERENCE_DATE)]
     if churn_days is not None:
@@ -75,6 +77,8 @@ def rfm(tx: DataFrame, churn_days: int | None = None) -> DataFrame:
     ]
     if churn_days is not None:
         cols.append((F.col(LAST_PURCHASE) < F.col("_churn_before")).cast("int").alias("Churn"))
+    if country:
+        cols.append(F.col(COUNTRY))
     return with_ref.select(*cols)
 
 
@@ -149,10 +153,11 @@ def segment(scored: DataFrame, rules: Sequence[tuple[int, str]] = SEGMENT_RULES)
 
 
 def rfm_segmented(tx: DataFrame, q: int = 5, duplicates: str = "drop",
-                  churn_days: int | None = None) -> DataFrame:
+                  churn_days: int | None = None, country: bool = False) -> DataFrame:
     """The scored and segmented customer table (the RFM table schema),
-    plus the Churn flag when ``churn_days`` is given."""
-    return segment(score_rfm(rfm(tx, churn_days), q=q, duplicates=duplicates))
+    plus the Churn flag when ``churn_days`` is given and the home Country when
+    ``country`` is set (both from the same single pass over the lines)."""
+    return segment(score_rfm(rfm(tx, churn_days, country), q=q, duplicates=duplicates))
 
 
 def segment_counts(customers: DataFrame) -> DataFrame:

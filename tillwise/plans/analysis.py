@@ -40,8 +40,7 @@ def run_analysis(raw: DataFrame, order: str = "dedupe_first", churn_days: int =
     out["clean_describe"] = P.describe(lines, [QUANTITY, UNIT_PRICE, TOTAL_PRICE])
     out["clean_duplicates"] = P.duplicate_count(lines)
 
-    table = materialize(CU.with_country(CU.with_clv(
-        R.rfm_segmented(lines, q=q, churn_days=churn_days)), lines))
+    table = materialize(CU.customer_table(lines, churn_days=churn_days, q=q))
     out["customers"] = table
     out["segment_counts"] = R.segment_counts(table)
     out["segment_profile"] = SG.segment_profile(table)
