@@ -68,7 +68,7 @@ def customer_table(tx: DataFrame, churn_days: int = 90, q: int = 5) -> DataFrame
 
 def customers(tx: DataFrame, q: int = 5) -> DataFrame:
     """CustomerID, Country, Recency, Frequency, Monetary, the scores and Segment."""
-    t = with_country(rfm_segmented(tx, q=q), tx)
+    t = rfm_segmented(tx, q=q, country=True)  # one pass over the lines
     return t.select(CUSTOMER, COUNTRY, RECENCY, FREQUENCY, MONETARY, R_SCORE, F_SCORE, M_SCORE,
                     RFM_SCORE, SEGMENT)
 
