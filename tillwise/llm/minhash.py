@@ -204,3 +204,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = F.coalesce("component_id", "did")
     return out.select(F.col("did").alias(id_col), "n_shingles", alone.alias("component_id"),
                       F.coalesce(F.col("did") == alone, F.lit(True)).alias("kept"), F.coalesce("class_id", "did").alias("class_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that stay (the least id of each component, rows without a set, rows without an id), with their own columns."""
+    gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(id_col)
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

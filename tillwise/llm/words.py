@@ -109,8 +109,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have:]) if width > have else x
 
 
-def chunks(texts: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first row, end row, words) for consecutive rows of a string array."""
+def byte_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, document borders in them) for consecutive rows of a string array."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -124,12 +124,17 @@ def chunks(texts: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> It
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
-        yield lo, hi, Words(buf[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], lower)
+        hi = min(max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1), n)
+        yield lo, hi, buf[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
         lo = hi
 
 
+def chunks(texts: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """(first row, end row, words) for consecutive rows of a string array."""
+    for lo, hi, buf, offs in byte_chunks(texts, limit):
+        yield lo, hi, Words(buf, offs, lower)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 hashes as the signed longs that Spark has."""
     return x.view(np.int64)
