@@ -62,8 +62,12 @@ def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
             parts.append(mix(gram_hashes(h, m)[w.first[short]] + np.uint64(m)))
             owners.append(short)
     s, d = np.concatenate(parts), np.concatenate(owners)
-    order = np.lexsort((s, d))
-    s, d = s[order], d[order]
+    if len(parts) > 1:
+        order = np.argsort(d, kind="stable")
+        s, d = s[order], d[order]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=n_docs))))
+    for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        s[x:y].sort()
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
     return s[new], np.bincount(d[new], minlength=n_docs)

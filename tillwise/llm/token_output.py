@@ -184,7 +184,7 @@ def _write(batches: Iterable[pa.RecordBatch], folder: str, path: str, end_id: in
             if not rows.num_rows:
                 continue
             if writer is None:
-                encoder, writer = Encoder(path), Writer(fs.open_output_stream(f"{root}/{name}"))
+                encoder, writer = Encoder(path), Writer(fs.open_output_stream(f"{root}/{name}", compression=None))
             texts = [t or "" for t in rows.column("text").to_pylist()]
             for doc_id, ids in zip(rows.column("did").to_pylist(), encoder.encode(texts), strict=True):
                 writer.add(doc_id, ids + end)
