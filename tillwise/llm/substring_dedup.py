@@ -12,7 +12,8 @@ corpus-wide, the subtrees are built group by group, each group small enough for
    has no inner node: its passages are done. This drops most of a corpus before any text moves.
 3. *Variable-length prefixes.* Prefixes seen up to ``group_limit`` times are groups: their text
    slices meet in one task. A more frequent prefix is extended to the passage's full length; such a
-   group is one node, so counting it (with map-side combining) replaces the tree, at any skew.
+   group is one node, so counting it (with map-side combining) replaces the tree, at any skew. Runs of
+   passages that are equal as a whole are counted first, so copies of a hot passage are one row.
 4. *Subtrees.* In each group the suffixes are sorted word by word; neighbours that agree on at least
    ``min_words`` words hang under one deep inner node. Deep inner nodes with two leaves or more are
    the repeats; in each document, runs of them join to maximal repeated spans.
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.shipping import shipped
-from tillwise.llm.words import Words, chunks, gram_hashes, signed, sliding_min
+from tillwise.llm.words import Words, chunks, gram_hashes, mix, signed, sliding_min
 
 ANCHOR = 8
 #: Occurrences of a prefix up to which its suffixes are one in-memory group.
@@ -115,22 +116,28 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iter
                 ["key", "rid", "did", "start", "n", "slice"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Every window under a very frequent anchor, by a 128-bit fingerprint of its full length."""
+def _frequent_runs(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """The runs of windows under a very frequent anchor: a 128-bit fingerprint of the run, and one of each of its windows."""
+    kind = pa.struct([("f1", pa.int64()), ("f2", pa.int64())])
     for b in batches:
         rid, did = b.column("rid").to_numpy(), b.column("did").to_numpy()
         for lo, hi, w in chunks(b.column("text")):
             doc, p, n, key = _runs(w, length, anchor)
             keep = _member(doc, signed(key), b.column("heavy").slice(lo, hi - lo))
-            doc, p, n = doc[keep], p[keep], n[keep]
+            doc, p, n, key = doc[keep], p[keep], n[keep], key[keep]
+            if not len(p):
+                continue
             h = w.hashes()
-            at = np.repeat(p - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else p
-            d = np.repeat(doc, n)
-            f1, f2 = (gram_hashes(h, length, base)[at] if len(at) else np.zeros(0, np.uint64)
-                      for base in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+            heads = np.concatenate(([0], np.cumsum(n)))
+            at = np.repeat(p - heads[:-1], n) + np.arange(heads[-1])
+            f1, f2 = (gram_hashes(h, length, base)[at] for base in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+            place = (np.arange(heads[-1]) - np.repeat(heads[:-1], n)).astype(np.uint64) + np.uint64(1)
+            r1, r2 = (mix(np.add.reduceat(mix(f + mix(place)), heads[:-1]) + n.astype(np.uint64)) for f in (f1, f2))
+            windows = pa.StructArray.from_arrays([pa.array(signed(f1)), pa.array(signed(f2))], fields=list(kind))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(f1)), pa.array(signed(f2)), pa.array(rid[lo + d]), pa.array(did[lo + d]),
-                 pa.array((at - w.first[d]).astype(np.int32))], ["f1", "f2", "rid", "did", "start"])
+                [pa.array(signed(r1)), pa.array(signed(r2)), pa.array(rid[lo + doc]), pa.array(did[lo + doc]),
+                 pa.array((p - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), windows)], ["r1", "r2", "rid", "did", "start", "n", "windows"])
 
 
 def _deep_nodes(t: pa.Table, length: int) -> pa.RecordBatch:
@@ -250,10 +257,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     "key long, rid long, did long, start int, n int, slice binary") \
         .repartition("key").sortWithinPartitions("key") \
         .mapInArrow(partial(_subtrees, length=min_words), "rid long, did long, start int, mask long")
-    windows = candidates.where(F.size("heavy") > 0) \
-        .mapInArrow(partial(_windows, length=min_words, anchor=anchor), "f1 long, f2 long, rid long, did long, start int")
-    nodes = windows.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    deep = windows.join(nodes, ["f1", "f2"]).select("rid", "did", "start", F.lit(1).cast("long").alias("mask"))
+    runs = candidates.where(F.size("heavy") > 0) \
+        .mapInArrow(partial(_frequent_runs, length=min_words, anchor=anchor),
+                    "r1 long, r2 long, rid long, did long, start int, n int, windows array<struct<f1:bigint,f2:bigint>>")
+    # a run that occurs twice is all repeated; of one that occurs once, each window may occur in another run
+    distinct = runs.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.any_value("n").alias("n"), F.any_value("windows").alias("windows"))
+    nodes = distinct.select("c", F.inline("windows")).groupBy("f1", "f2").agg(F.sum("c").alias("c")).where("c > 1").drop("c")
+    single = distinct.where("c = 1").select("r1", "r2", F.posexplode("windows").alias("at", "f")) \
+        .select("r1", "r2", "at", "f.f1", "f.f2").join(nodes, ["f1", "f2"]) \
+        .groupBy("r1", "r2").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    twice = distinct.where("c > 1").select("r1", "r2", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
+    deep = runs.select("r1", "r2", "rid", "did", "start").join(single.unionByName(twice), ["r1", "r2"]).select("rid", "did", "start", "mask")
     marks = trees.unionByName(deep).groupBy("rid").agg(F.collect_list(F.struct("did", "start", "mask")).alias("marks"))
     no_marks: Column = F.array().cast("array<struct<did:bigint,start:int,mask:bigint>>")
     schema = "did long, n_words long, n_removed long, kept_sha256 string"
