@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tillwise.functions.scalars import attach_scalars
 from tillwise.functions.quantiles import bin_by_edges, exact_quantiles, qcut_probs, quantile_edges
 
 
@@ -46,7 +47,8 @@ def test_missing_values_ignored_and_empty(spark):
     df = spark.createDataFrame(pd.DataFrame({"v": [1.0, None, float("nan"), 3.0]}))
     assert list(exact_quantiles(df, "v", [0.5]).first()["q"]) == [2.0]
     empty = df.where(F.col("v") > 100)
-    assert exact_quantiles(empty, "v", [0.5]).count() == 0
+    assert [(r.n, r.q) for r in exact_quantiles(empty, "v", [0.5]).collect()] == [(0, [None])]
+    assert exact_quantiles(empty.withColumn("g", F.lit(1)), "v", [0.5], by=["g"]).count() == 0
 
 
 @pytest.mark.parametrize("values", [
@@ -84,3 +86,34 @@ def test_null_group_key_is_a_group(spark):
     res = {r["g"]: list(r["q"]) for r in
            exact_quantiles(spark.createDataFrame(pdf), "v", [0.5], by=["g"]).collect()}
     assert res == {"a": [2.0], None: [4.0]}
+
+
+@pytest.mark.parametrize("parts", [1, 8, 200])
+def test_ranks_do_not_rest_on_a_reused_exchange(spark, parts):
+    """A million distinct values, no exchange reuse, no coalescing: the ranks are the same."""
+    conf = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+    old = {k: spark.conf.get(k) for k in conf}
+    n = 1_000_003
+    df = spark.range(n).select(((F.col("id") * 48271) % n / 7.0).alias("v"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = exact_quantiles(df, "v", [0.25, 0.5, 0.75, 0.875]).first()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got["n"] == n
+    assert list(got["q"]) == list(np.percentile(np.arange(n) / 7.0, [25, 50, 75, 87.5]))
+
+
+def test_no_values_is_one_row_without_groups(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),)], "v double")
+    assert [(r.n, r.q) for r in exact_quantiles(df, "v", [0.5]).collect()] == [(0, [None])]
+
+
+def test_scalars_must_be_one_row(spark):
+    df = spark.range(3)
+    assert attach_scalars(df, spark.createDataFrame([(7,)], "x long")).count() == 3
+    for rows in ([], [(1,), (2,)]):
+        with pytest.raises(Exception, match="one row"):
+            attach_scalars(df, spark.createDataFrame(rows, "x long")).collect()

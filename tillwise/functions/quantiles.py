@@ -14,17 +14,20 @@ are not exact.
 
 Plan, all DataFrame operators, no collect:
 
-1. ``groupBy(keys, v).count()`` - the distinct values with their counts. Map-side
-   partial aggregation folds a hot value or a hot group before the shuffle.
-2. ``repartitionByRange(keys, v)`` - contiguous, ordered value ranges; each
-   range partition gets an id (``spark_partition_id``). A group that holds a third
-   of all rows is spread over many range partitions.
-3. Running count and total inside each range partition (one window pass by
-   partition id), then the prefix sums of the partition totals (a window over
-   one row per partition and group) give every distinct value its global rank
-   span [before, after).
-4. Only the rows whose span covers a wanted rank survive the filter; one small
-   aggregate per group interpolates.
+1. ``groupBy(keys, v)`` - the distinct values with their counts, written once to
+   the shared folder. Map-side partial aggregation folds a hot value or a hot group
+   before the shuffle.
+2. Per group, up to ``SPLITS`` split values (approximate quantiles of the distinct
+   values; one small row per group), written once as well. They only cut the work
+   into buckets of similar size: the result does not depend on which splits they
+   are, so their approximation is harmless. They are data, so every later read
+   sees the same buckets: nothing is matched on a partition id, and no exchange
+   has to be reused for the ranks to be right.
+3. A value's bucket is the number of splits below it. Bucket totals (at most
+   ``SPLITS`` + 1 rows per group) and their prefix sums give each bucket's rank span.
+4. Only buckets that hold a wanted rank are read again; a running count inside
+   them (each is 1 / SPLITS of a group's distinct values) gives exact ranks, and
+   one small aggregate per group interpolates.
 """
 
 from __future__ import annotations
@@ -34,7 +37,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_V, _C, _PID, _CIN, _OFF, _N, _K = "_q_v", "_q_c", "_q_pid", "_q_cin", "_q_off", "_q_n", "_q_key"
+from tillwise.functions.materialize import materialize as _materialize
+from tillwise.functions.materialize import materialize_table
+
+SPLITS = 512
+_V, _C, _N, _K, _B = "_q_v", "_q_c", "_q_n", "_q_key", "_q_bucket"
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
@@ -44,8 +51,10 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
 
     Returns one row per group that has at least one non-missing value:
     ``by..., n (non-missing count), q (array<double>, same order as probs)``.
-    NULL and NaN are ignored, as missing values are. ``weight`` names an integer
-    column of row multiplicities (for pre-aggregated input). The result (a few
+    Without ``by`` there is always one row; with no value at all it is n = 0 and
+    NULL quantiles. NULL and NaN are ignored, as missing values are. ``weight``
+    names an integer column of row multiplicities (for pre-aggregated input).
+    Runs jobs when called (the counted values and the splits); the result (a few
     rows) is checkpointed by default so consumers read a leaf, not this plan.
     """
     probs = [float(p) for p in probs]
@@ -60,65 +69,71 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         src = src.withColumn(_K, F.lit(0))
     src = src.where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)) & (F.col("_q_w") > 0))
 
-    counted = src.groupBy(*keys, _V).agg(F.sum("_q_w").alias(_C))
-    ranged = counted.repartitionByRange(*keys, _V).withColumn(_PID, F.spark_partition_id())
-
-    part = Window.partitionBy(_PID, *keys)
-    running = part.orderBy(_V).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = (ranged.withColumn(_CIN, F.sum(_C).over(running))
-                   .withColumn("_q_ptot", F.sum(_C).over(part)))
-
-    # values are distinct within a partition and counts positive, so exactly the
-    # last row of each (partition, group) has running count == partition total:
-    # the totals come out of the same window pass, without another aggregate
-    totals = local.where(F.col(_CIN) == F.col("_q_ptot")).select(_PID, *keys, "_q_ptot")
-    prefix = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    offsets = totals.select(
-        _PID, *keys,
-        (F.sum("_q_ptot").over(prefix) - F.col("_q_ptot")).alias(_OFF),
-        F.sum("_q_ptot").over(Window.partitionBy(*keys)).alias(_N))
-
-    # null-safe on the group keys: a NULL group is a group like any other
-    lo, of = local.alias("_q_l"), offsets.alias("_q_o")
-    cond = F.col(f"_q_l.{_PID}") == F.col(f"_q_o.{_PID}")
-    for k in keys:
-        cond = cond & F.col(f"_q_l.{k}").eqNullSafe(F.col(f"_q_o.{k}"))
-    spans = lo.join(of, cond).select(
-        *[F.col(f"_q_l.{k}").alias(k) for k in keys], F.col(f"_q_l.{_V}").alias(_V),
-        F.col(f"_q_o.{_N}").alias(_N),
-        (F.col(f"_q_o.{_OFF}") + F.col(f"_q_l.{_CIN}") - F.col(f"_q_l.{_C}")).alias("_q_before"),
-        (F.col(f"_q_o.{_OFF}") + F.col(f"_q_l.{_CIN}")).alias("_q_after"))
+    counted = materialize_table(src.groupBy(*keys, _V).agg(F.sum("_q_w").alias(_C)), "counted")
+    cuts = [i / SPLITS for i in range(1, SPLITS)]
+    splits = materialize_table(counted.groupBy(*keys).agg(
+        F.array_sort(F.array_distinct(F.percentile_approx(_V, cuts, 4 * SPLITS))).alias("_q_splits")), "splits")
+    ranged = _null_safe_join(counted, splits, keys).withColumn(_B, _count_below(F.col("_q_splits"), F.col(_V))).drop("_q_splits")
+
+    upto = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = ranged.groupBy(*keys, _B).agg(F.sum(_C).alias("_q_t"))
+    buckets = totals.select(*keys, _B, "_q_t", (F.sum("_q_t").over(upto) - F.col("_q_t")).alias("_q_off"),
+                            F.sum("_q_t").over(Window.partitionBy(*keys)).alias(_N))
 
     def pos(p: float) -> Column:
         return (F.col(_N) - 1).cast("double") * F.lit(p)
 
-    def covers(rank: Column) -> Column:
-        return (F.col("_q_before") <= rank) & (rank < F.col("_q_after"))
+    def spans(rank: Column, low: Column, high: Column) -> Column:
+        return (low <= rank) & (rank < high)
 
-    ranks = []
-    for p in probs:
-        ranks.append(F.floor(pos(p)))
-        ranks.append(F.ceil(pos(p)))
-    wanted = spans.where(_any([covers(r) for r in ranks]))
+    ranks = [r for p in probs for r in (F.floor(pos(p)), F.ceil(pos(p)))]
+    off = F.col("_q_off")
+    wanted = buckets.where(_any([spans(r, off, off + F.col("_q_t")) for r in ranks])).drop("_q_t")
+    running = Window.partitionBy(*keys, _B).orderBy(_V).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = _null_safe_join(ranged, wanted, keys, [_B]).withColumn("_q_after", off + F.sum(_C).over(running)) \
+        .withColumn("_q_before", F.col("_q_after") - F.col(_C))
+
+    def covers(rank: Column) -> Column:
+        return spans(rank, F.col("_q_before"), F.col("_q_after"))
 
+    picked = inside.where(_any([covers(r) for r in ranks]))
     aggs = [F.max(_N).alias(_N)]
     for i, p in enumerate(probs):
         aggs.append(F.max(F.when(covers(F.floor(pos(p))), F.col(_V))).alias(f"_q_lo{i}"))
         aggs.append(F.max(F.when(covers(F.ceil(pos(p))), F.col(_V))).alias(f"_q_hi{i}"))
-    picked = wanted.groupBy(*keys).agg(*aggs)
+    picked = picked.groupBy(*by).agg(*aggs)
 
     qs = []
     for i, p in enumerate(probs):
         lo, hi = F.col(f"_q_lo{i}"), F.col(f"_q_hi{i}")
         g = pos(p) - F.floor(pos(p)).cast("double")
         qs.append(F.when(g >= 0.5, hi - (hi - lo) * (F.lit(1.0) - g)).otherwise(lo + (hi - lo) * g))
-    result = picked.select(*[F.col(k) for k in by], F.col(_N).alias(count_col),
-                           F.array(*qs).alias(out))
-    if materialize:
-        from tillwise.functions.materialize import materialize as _materialize
-        result = _materialize(result)
-    return result
+    n = F.col(_N) if by else F.coalesce(F.col(_N), F.lit(0))
+    result = picked.select(*[F.col(k) for k in by], n.alias(count_col), F.array(*qs).alias(out))
+    return _materialize(result) if materialize else result
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], plain: Sequence[str] = ()) -> DataFrame:
+    """Inner join on columns of both sides, kept once; a NULL group key is a group like any other (``plain`` keys are never NULL)."""
+    a, b = left.alias("_q_l"), right.alias("_q_r")
+    cond = None
+    for k in [*keys, *plain]:
+        same = F.col(f"_q_l.{k}") == F.col(f"_q_r.{k}") if k in plain else F.col(f"_q_l.{k}").eqNullSafe(F.col(f"_q_r.{k}"))
+        cond = same if cond is None else cond & same
+    both = {*keys, *plain}
+    return a.join(b, cond).select(*[F.col(f"_q_l.{c}") for c in left.columns], *[F.col(f"_q_r.{c}") for c in right.columns if c not in both])
+
+
+def _count_below(splits: Column, v: Column) -> Column:
+    """How many of the ascending splits lie below v, by binary search (steps for up to SPLITS entries)."""
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        less = F.get(splits, mid) < v
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(
+            F.when(less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(less, s["hi"]).otherwise(mid).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SPLITS.bit_length())), start, step)["lo"]
 
 
 def _any(conds: list[Column]) -> Column:
