@@ -44,16 +44,19 @@ def _nan_as_null(df: DataFrame, c: str):
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str] = (QUANTITY, UNIT_PRICE)) -> DataFrame:
-    """Text to double; text that is not a number becomes NULL (never an error)."""
-    return df.withColumns({c: coerce_double(F.col(c)) for c in cols})
+    """Text to double; text that is not a number becomes NULL (never an error). Columns that are numbers
+    already are only widened, so a filter on them still reaches the scan."""
+    types = dict(df.dtypes)
+    return df.withColumns({c: coerce_double(F.col(c), types[c]) for c in cols})
 
 
-def positive_only(df: DataFrame, cols: Sequence[str] = (QUANTITY, UNIT_PRICE)) -> DataFrame:
-    """C4: keep rows where every given column is > 0 (NULL and NaN fail the test;
-    in Spark NaN > 0 is true, so NaN is excluded explicitly)."""
+def positive_only(df: DataFrame, cols: Sequence[str] = (QUANTITY, UNIT_PRICE), plain: Sequence[str] = ()) -> DataFrame:
+    """C4: keep rows where every given column is > 0 (NULL and NaN fail the test; in Spark NaN > 0 is true, so NaN is
+    excluded explicitly). ``plain`` columns are columns of the source, not parsed text: their test is two plain
+    comparisons (NaN is above infinity), which a scan can apply; a parsed column is named once instead."""
     cond = None
     for c in cols:
-        ok = _nan_as_null(df, c) > 0
+        ok = (F.col(c) > 0) & (F.col(c) <= F.lit(float("inf"))) if c in plain else _nan_as_null(df, c) > 0
         cond = ok if cond is None else cond & ok
     return df.where(cond)
 
@@ -146,15 +149,18 @@ def clean(raw: DataFrame, order: str = "dedupe_first", outlier_cols: Sequence[st
     upstream (read, coercion, dedupe shuffle) twice.
     """
     cols = [c for c in TX_COLUMNS if c in raw.columns]
-    df = drop_missing(raw.select(*cols))
+    df = drop_missing(raw.select(*cols))  # the columns the input has: a file may come without TotalPrice
+    numbers = [c for c, t in raw.dtypes if t != "string"]
     df = coerce_numeric(df)
-    df = positive_only(df)
+    df = positive_only(df, plain=numbers)
     df = drop_missing(df, [CUSTOMER])
     df = to_int(df)
     if order not in ("dedupe_first", "outliers_first"):
         raise ValueError("order must be 'dedupe_first' or 'outliers_first'")
     if order == "dedupe_first":
         df = dedupe(with_total_price(df))
+    elif TOTAL_PRICE not in df.columns:
+        raise ValueError("order='outliers_first' takes TotalPrice as read, and the input has none")
     if materialize:
         # the cascade reads its input once for the value table and once for the
         # final filter: write it once (Parquet: the value table reads 3 columns)

@@ -2,10 +2,10 @@
 
 from tillwise.sources.files import read_rfm, read_transactions, write_rfm_csv
 from tillwise.sources.testdata import (
-    clock_lines, dirty_lines, event_lines, period_lines, raw_lines, retail_lines, table,
+    clock_lines, dirty_lines, event_lines, coarse_lines, raw_lines, retail_lines, table,
 )
 
 __all__ = [
     "read_transactions", "read_rfm", "write_rfm_csv",
-    "table", "retail_lines", "raw_lines", "dirty_lines", "period_lines", "clock_lines", "event_lines",
+    "table", "retail_lines", "raw_lines", "dirty_lines", "coarse_lines", "clock_lines", "event_lines",
 ]

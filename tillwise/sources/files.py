@@ -11,11 +11,16 @@ Missing markers are normalised the way a dataframe CSV reader treats them
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwise.schema import RAW_TX_SCHEMA, RFM_SCHEMA
+from tillwise.schema import F_SCORE, M_SCORE, R_SCORE, RAW_TX_SCHEMA, RFM_SCHEMA, RFM_SCORE, SEGMENT, TOTAL_PRICE
+
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 # Text a dataframe CSV reader takes as missing by default.
 MISSING_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -25,41 +30,77 @@ MISSING_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 JUNK_COLUMNS = ["Unnamed: 8", "CheckBlank"]
 
 
-def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
-                      header: bool = True) -> DataFrame:
+#: Columns a file may lack: they are computed or scored anyway.
+OPTIONAL_TX = (TOTAL_PRICE,)
+OPTIONAL_RFM = (R_SCORE, F_SCORE, M_SCORE, RFM_SCORE, SEGMENT)
+
+
+def read_transactions(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv", header: bool = True,
+                      multi_line: bool = False, timestamp_format: str | None = None) -> DataFrame:
     """Raw transaction lines with the declared raw schema.
 
     Columns are matched by NAME (a header CSV is read as text, no inference pass),
     so column order and extra columns such as the junk ``Unnamed: 8`` /
-    ``CheckBlank`` do not matter; a declared column that is absent reads as NULL.
+    ``CheckBlank`` do not matter. The files of one path must have one header, else
+    the query fails; pass a list of paths for files that differ, each is matched by
+    its own header. A file without ``TotalPrice`` gives lines without that column;
+    any other declared column that is absent is an error.
+
+    CSV fields may be quoted, with quotes inside doubled (``multi_line`` for line
+    breaks in them). ``timestamp_format``: a pattern tried where a date is not in
+    ISO form, such as ``M/d/yyyy H:mm``.
     """
-    if fmt == "parquet":
-        df = spark.read.parquet(path)
-    elif fmt == "csv":
-        df = spark.read.option("header", header).option("mode", "PERMISSIVE").csv(path)
-    else:
-        raise ValueError(f"unsupported format {fmt!r}; export spreadsheets to csv or parquet")
-    return _typed(df, RAW_TX_SCHEMA, text=(fmt == "csv"))
-
-
-def read_rfm(spark: SparkSession, path: str) -> DataFrame:
-    """The precomputed customer table (header CSV) with the declared RFM schema."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return _typed(df, RFM_SCHEMA, text=True)
-
-
-def _typed(df: DataFrame, schema: T.StructType, text: bool) -> DataFrame:
-    present = set(df.columns)
+    parts = []
+    for p in [path] if isinstance(path, str) else path:
+        if fmt == "parquet":
+            df = spark.read.parquet(p)
+        elif fmt == "csv":
+            df = _csv(spark, p, header, multi_line)
+        else:
+            raise ValueError(f"unsupported format {fmt!r}; export spreadsheets to csv or parquet")
+        parts.append(_typed(df, RAW_TX_SCHEMA, fmt == "csv", OPTIONAL_TX, p, timestamp_format))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_rfm(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+    """The precomputed customer table (header CSV) with the declared RFM schema; headers as in
+    ``read_transactions``. Scores and segment may be absent."""
+    parts = [_typed(_csv(spark, p, True, multi_line), RFM_SCHEMA, True, OPTIONAL_RFM, p) for p in ([path] if isinstance(path, str) else path)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _csv(spark: SparkSession, path: str, header: bool, multi_line: bool) -> DataFrame:
+    """Text columns named by the header; a second file with another header fails instead of being read by position."""
+    options = {"header": header, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": multi_line}
+    if not header:
+        return spark.read.options(**options).csv(path).toDF(*[f.name for f in RAW_TX_SCHEMA.fields])
+    names = spark.read.options(**options).csv(path).columns  # the first line of one file
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.read.options(**options, enforceSchema=False).schema(schema).csv(path)
+
+
+def _typed(df: DataFrame, schema: T.StructType, text: bool, optional: Sequence[str], path: str,
+           timestamp_format: str | None = None) -> DataFrame:
+    present = dict(df.dtypes)
+    absent = [f.name for f in schema.fields if f.name not in present and f.name not in optional]
+    if absent:
+        raise ValueError(f"{path}: no column {', '.join(absent)}")
     out = []
     for f in schema.fields:
         if f.name not in present:
-            out.append(F.lit(None).cast(f.dataType).alias(f.name))
             continue
         c = F.col(f"`{f.name}`")
         if text:
             c = _missing_to_null(c)
         if isinstance(f.dataType, T.StringType):
-            out.append(c.cast("string").alias(f.name))
+            # numbers stay numbers: a filter on them can reach the scan
+            number = not text and present[f.name] in NUMBERS or present[f.name].startswith("decimal")
+            out.append((c if number else c.cast("string")).alias(f.name))
+        elif isinstance(f.dataType, T.TimestampNTZType) and text:
+            iso = c.try_cast(f.dataType)
+            if timestamp_format:
+                iso = F.coalesce(iso, F.try_to_timestamp(c, F.lit(timestamp_format)).cast(f.dataType))
+            out.append(iso.alias(f.name))
         elif text and isinstance(f.dataType, (T.IntegerType, T.LongType)):
             # integer columns written by a dataframe library may carry '.0'
             out.append(c.try_cast("double").cast(f.dataType).alias(f.name))

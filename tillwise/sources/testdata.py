@@ -9,7 +9,7 @@
     TotalPrice  = extended price
 
 Variants (same expressions in the DuckDB oracle): raw text numerics, injected
-dirt, date windows, time of day, and purchase events. Joins are plain equi-joins;
+dirt, coarse invoice ids, time of day, and purchase events. Joins are plain equi-joins;
 Catalyst/AQE choose the strategy from runtime sizes (the nation table is tiny and
 gets broadcast by the size check; the big tables are shuffled on their keys).
 """
@@ -30,20 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # hash-partition the lines on the order key: the order join needs exactly this
-    # partitioning when it is a sort-merge join (large orders), so it costs no
-    # extra shuffle there; when orders is small enough to be broadcast it spreads
-    # the line-level work over all cores even if a file holds a single row group
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity",
-                                                "l_extendedprice").repartition("l_orderkey")
+    # orders meet customers first, at order grain: lines are then joined on the order
+    # key only, so they are never shuffled on a hot customer before an aggregate has
+    # folded them, and adaptive execution is free to split a skewed order join
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     cust_country = cu.join(na, cu.c_nationkey == na.n_nationkey).select("c_custkey", "n_name")
-    return (li.join(od, li.l_orderkey == od.o_orderkey)
-              .join(cust_country, od.o_custkey == cust_country.c_custkey)
-              .join(pt, li.l_partkey == pt.p_partkey))
+    order_country = od.join(cust_country, od.o_custkey == cust_country.c_custkey)
+    return li.join(order_country, li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey)
 
 
 def retail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +98,10 @@ def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(base.where(F.col("_key") % 53 == 0)).drop("_key")
 
 
-def period_lines(spark: SparkSession, sf_dir: str, start: str, end: str) -> DataFrame:
-    """Base lines with InvoiceDate in [start, end) (e.g. one quarter, half year, year)."""
-    tx = retail_lines(spark, sf_dir)
-    d = F.col(INVOICE_DATE)
-    return tx.where((d >= F.lit(start).cast("timestamp_ntz")) & (d < F.lit(end).cast("timestamp_ntz")))
+def coarse_lines(spark: SparkSession, sf_dir: str, invoices: int) -> DataFrame:
+    """All base lines with their order keys folded to ``invoices`` invoice ids: few distinct invoices per
+    customer, so quantile edges repeat (1: every customer has Frequency 1)."""
+    return retail_lines(spark, sf_dir).withColumn(INVOICE, (F.col(INVOICE).cast("bigint") % invoices).cast("string"))
 
 
 def clock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
