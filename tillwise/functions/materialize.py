@@ -1,23 +1,23 @@
-"""Cutting lineage with a reliable checkpoint in the shared checkpoint folder.
+"""Cutting lineage with written tables in the shared checkpoint folder.
 
 Used where a small intermediate is consumed several times (quantile results,
 the customer table that feeds its own quantile edges, the cascade's narrow
 value table): the consumers then read a leaf instead of re-planning, and
 re-running, the upstream. Never a local checkpoint: a lost executor must not
-lose the data.
+lose the data. The tables stay until ``release_scratch`` (or the end of a
+``scratch_scope``) deletes them: a lazy result may still read them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tillwise.session import derived_path, scratch_dir
+from tillwise.session import derived_path
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and write it to the shared checkpoint folder."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute a small ``df`` once and write it to the shared folder."""
+    return materialize_table(df, "small")
 
 
 def materialize_table(df: DataFrame, name: str = "table") -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -46,16 +47,19 @@ def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int =
     """Settings for a large cluster, sized from the input volume and core count.
 
     - file splits of ``target_partition_bytes`` (one task reads ~256 MB),
-    - initial shuffle partitions so one partition holds ~256 MB of the input
-      (at least 2 waves of the cores), coalesced at run time by AQE towards
-      128 MB per partition,
+    - initial shuffle partitions between 2 and 4 waves of the cores: map outputs times
+      reduce partitions is what the driver has to track, so their number follows the
+      cores and not the bytes; AQE coalesces small ones towards 128 MB and splits skewed
+      ones, and operators fold lines map-side before they shuffle,
     - AQE skew join: a partition 5x the median and above 512 MB is split, which
       covers a key that holds a large share of the lines in the one line-level join,
     - broadcast only what AQE measured below 64 MB.
     """
-    shuffle = max(2 * cores, int(input_bytes // target_partition_bytes) + 1)
+    shuffle = min(max(2 * cores, int(input_bytes // target_partition_bytes) + 1), 4 * cores)
+    # at most 32 waves of read tasks, so a file split grows with very large inputs
+    split = max(target_partition_bytes, int(input_bytes // (32 * cores)))
     return {
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(shuffle),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -90,6 +94,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Paths handed out and not deleted yet, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def derived_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared scratch folder for a table Spark writes."""
-    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared scratch folder for a table Spark writes; ``release_scratch`` deletes it."""
+    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the derived tables written in this application (those after the first ``since``); call it when the
+    results that read them have been written or collected. Returns how many were deleted."""
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    paths, written[since:] = written[since:], []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """``with scratch_scope(spark): ...``: what the block's operators wrote to the scratch folder is deleted at its end, also
+    after an error. Write or collect the results inside the block."""
+    since = len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release_scratch(spark, since)
