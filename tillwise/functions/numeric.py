@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 NUMERIC_TEXT = (r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
                 r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$")
 
-# Money is summed exactly in ten-thousandths: each line is rounded to 4 decimals
-# (floor(x * 10^4 + 0.5), the same IEEE steps in every engine) and the integers
-# are added as decimals, so totals do not depend on summation order.
-MONEY_SCALE = 10000.0
+# Money is summed as decimals: each line is rounded half up to MONEY_DIGITS decimals,
+# so totals do not depend on summation order.
+MONEY_DIGITS = 4
 
 
 def nan_to_null(c: Column) -> Column:
@@ -23,17 +22,26 @@ def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def coerce_double(c: Column) -> Column:
-    """Text or number to double; text that is not a number, and NaN, become NULL."""
+def coerce_double(c: Column, dtype: str = "string") -> Column:
+    """Text or number to double; text that is not a number, and NaN, become NULL. A ``dtype`` that is a
+    number already is not parsed (and so can be pushed into a scan)."""
+    if dtype in ("double", "float"):
+        return c.cast("double")  # NaN is told apart by the filters that follow
+    if dtype in ("tinyint", "smallint", "int", "bigint") or dtype.startswith("decimal"):
+        return c.cast("double")
     as_text = c.cast("string")
     parsed = F.when(as_text.rlike(NUMERIC_TEXT), as_text.try_cast("double"))
     return nan_to_null(parsed)
 
 
-def money_sum(c: Column) -> Column:
-    """Order-independent exact sum of a money column, returned as double."""
-    units = F.floor(c * F.lit(MONEY_SCALE) + F.lit(0.5)).cast("decimal(20,0)")
-    return F.sum(units).cast("double") / F.lit(MONEY_SCALE)
+def money_sum(c: Column, digits: int = MONEY_DIGITS) -> Column:
+    """Order-independent exact sum of a money column, each value rounded half up to ``digits`` decimals; returned as
+    double. Infinity, NaN and amounts of 10^(18 - digits) or more fail the query instead of being clamped."""
+    kind = f"decimal(18,{digits})"
+    exact = c.try_cast(kind)
+    amount = F.when(c.isNull() | exact.isNotNull(), exact).otherwise(
+        F.raise_error(F.concat(F.lit(f"not a money amount ({kind}): "), c.cast("string"))))
+    return F.sum(amount).cast("double")
 
 
 def round_stat(c: Column, digits: int = 6) -> Column:

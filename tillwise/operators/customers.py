@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.materialize import materialize
 from tillwise.functions.scalars import attach_scalars
-from tillwise.operators.rfm import LAST_PURCHASE, last_purchase, rfm_segmented
+from tillwise.operators.rfm import LAST_PURCHASE, last_purchase, most_frequent, rfm_segmented
 from tillwise.schema import (
     CHURN, CLV, COUNTRY, CUSTOMER, F_SCORE, FREQUENCY, INVOICE, INVOICE_DATE, M_SCORE,
     MONETARY, QUANTITY, R_SCORE, RECENCY, RFM_SCORE, SEGMENT, STOCK, UNIT_PRICE,
@@ -45,8 +45,9 @@ def churn_count(customers: DataFrame) -> DataFrame:
 
 def customer_country(tx: DataFrame) -> DataFrame:
     """CL2: most frequent Country of each customer, the smallest name on ties.
-    A customer with no known country gets NULL."""
-    return tx.groupBy(CUSTOMER).agg(F.mode(COUNTRY, True).alias(COUNTRY))
+    A customer with no known country gets NULL; lines without a customer are no customer."""
+    counts = tx.where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER, COUNTRY).agg(F.count(F.lit(1)).alias("_n"))
+    return most_frequent(counts, [CUSTOMER], COUNTRY)
 
 
 def with_clv(customers: DataFrame) -> DataFrame:
@@ -62,17 +63,13 @@ def with_country(customers: DataFrame, tx: DataFrame) -> DataFrame:
 def customer_table(tx: DataFrame, churn_days: int = 90, q: int = 5) -> DataFrame:
     """E1 + churn + CLV: one row per customer with id, country, R/F/M, scores,
     RFM score, segment, Churn and CLV (the full analysis table)."""
-    # the churn flag comes out of the RFM aggregate; the home country is a second,
-    # column-pruned aggregate (CustomerID, Country) joined on the customer key.
-    # Folding ``mode`` into the RFM aggregate (``rfm(country=True)``) saves that
-    # read but was slower at sf0.1: next to the distinct-invoice count the mode's
-    # value->count buffer is kept per (customer, invoice) partial group.
-    return with_country(with_clv(rfm_segmented(tx, q=q, churn_days=churn_days)), tx)
+    # one pass over the lines for the metrics, the churn flag and the home country
+    return with_clv(rfm_segmented(tx, q=q, churn_days=churn_days, country=True))
 
 
 def customers(tx: DataFrame, q: int = 5) -> DataFrame:
     """CustomerID, Country, Recency, Frequency, Monetary, the scores and Segment."""
-    t = with_country(rfm_segmented(tx, q=q), tx)
+    t = rfm_segmented(tx, q=q, country=True)
     return t.select(CUSTOMER, COUNTRY, RECENCY, FREQUENCY, MONETARY, R_SCORE, F_SCORE, M_SCORE,
                     RFM_SCORE, SEGMENT)
 

@@ -37,33 +37,73 @@ def hash_split(df: DataFrame, key: str = CUSTOMER, test_fraction: float = 0.2, s
 
 
 def features(df: DataFrame, cols: Sequence[str] = MODEL_FEATURES, out: str = "features") -> DataFrame:
-    """CH5 / CL4: the feature vector column over ``cols`` (rows with a missing feature skipped)."""
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
+    """CH5 / CL4: the feature vector column over ``cols``. No row is dropped: a row with a missing feature has a
+    NULL vector."""
+    known = _complete(cols)
+    filled = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols})
+    vectors = VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol="_vector", handleInvalid="error").transform(filled)
+    return vectors.withColumn(out, F.when(known, F.col("_vector"))).drop("_vector", *[f"_f_{c}" for c in cols])
+
+
+def _complete(cols: Sequence[str]):
+    known = F.lit(True)
+    for c in cols:
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return known
+
+
+def _training(train: DataFrame, cols: Sequence[str], label: str, max_rows: int) -> DataFrame:
+    """Rows with all features and a label, at most ``max_rows`` of them (by hash of the row, so the same rows
+    each time). Rows left out for a missing value are an error unless the caller filters them: none is skipped unseen."""
+    bad = F.count_if(~(_complete(cols) & F.col(label).isNotNull()))
+    seen = train.agg(F.count(F.lit(1)).alias("n"), bad.alias("bad")).first()
+    if seen["bad"]:
+        raise ValueError(f"{seen['bad']} of {seen['n']} training rows miss a feature or the label; "
+                         "filter them first (complete_rows) if that is meant")
+    if seen["n"] > max_rows:
+        return train.orderBy(F.xxhash64(*cols, label)).limit(max_rows)
+    return train
+
+
+def complete_rows(df: DataFrame, cols: Sequence[str] = MODEL_FEATURES, label: str | None = None) -> DataFrame:
+    """The rows with all features (and a label), said out loud."""
+    return df.where(_complete(cols) & F.col(label).isNotNull() if label else _complete(cols))
+
+
+#: Labelled rows a forest is fitted on (the trees live on the driver, and grow with these rows).
+MAX_TRAINING_ROWS = 2_000_000
 
 
 def train_churn(train: DataFrame, cols: Sequence[str] = MODEL_FEATURES, label: str = CHURN,
-                num_trees: int = 100, max_depth: int = 30, seed: int = 42) -> PipelineModel:
-    """CH7: random forest (100 trees, unbounded-like depth 30, sqrt features, gini)."""
-    assembler = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip")
+                num_trees: int = 100, max_depth: int = 30, seed: int = 42, min_rows_per_leaf: int = 1,
+                max_rows: int = MAX_TRAINING_ROWS) -> PipelineModel:
+    """CH7: random forest (100 trees, unbounded-like depth 30, sqrt features, gini). Its size on the driver is
+    bounded by ``max_rows`` training rows and ``min_rows_per_leaf``."""
+    assembler = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="error")
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees,
                                 maxDepth=max_depth, featureSubsetStrategy="sqrt",
-                                impurity="gini", seed=seed)
-    return Pipeline(stages=[assembler, rf]).fit(train)
+                                impurity="gini", seed=seed, minInstancesPerNode=min_rows_per_leaf)
+    return Pipeline(stages=[assembler, rf]).fit(_training(train, cols, label, max_rows))
 
 
 def train_clv(train: DataFrame, cols: Sequence[str] = MODEL_FEATURES, label: str = CLV) -> PipelineModel:
     """CL6: ordinary least squares (no regularisation, intercept fitted)."""
-    assembler = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="error")
     lr = LinearRegression(labelCol=label, featuresCol="features", regParam=0.0,
                           elasticNetParam=0.0, fitIntercept=True, standardization=False)
-    return Pipeline(stages=[assembler, lr]).fit(train)
+    return Pipeline(stages=[assembler, lr]).fit(_training(train, cols, label, 1 << 62))
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (CUSTOMER,),
             label: str | None = None) -> DataFrame:
-    """CH8 / CL7: id, label and prediction for each row."""
-    cols = [*keep] + ([label] if label else []) + ["prediction"]
-    return model.transform(df).select(*cols)
+    """CH8 / CL7: id, label and prediction for each row; NULL prediction where a feature is missing."""
+    inputs = model.stages[0].getInputCols()
+    known = _complete(inputs)
+    held = {f"_held_{c}": F.col(c) for c in {*keep, *([label] if label else [])}}
+    filled = df.withColumns(held).withColumn("_known", known).withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in inputs})
+    out = model.transform(filled)
+    return out.select(*[F.col(f"_held_{c}").alias(c) for c in keep], *([F.col(f"_held_{label}").alias(label)] if label else []),
+                      F.when(F.col("_known"), F.col("prediction")).alias("prediction"))
 
 
 def binary_metrics(pred: DataFrame, label: str = CHURN, prediction: str = "prediction") -> DataFrame:

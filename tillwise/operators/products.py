@@ -64,8 +64,9 @@ def dual_top_summary(perf: DataFrame, n: int = 10) -> DataFrame:
 def products(tx: DataFrame) -> DataFrame:
     """StockCode, the most frequent Description (smallest on ties), and the
     lowest / highest UnitPrice seen for it."""
-    return tx.where(F.col(STOCK).isNotNull()).groupBy(STOCK).agg(
-        F.mode(DESCRIPTION, True).alias(DESCRIPTION),
-        F.min(UNIT_PRICE).alias("MinUnitPrice"),
-        F.max(UNIT_PRICE).alias("MaxUnitPrice"),
-    )
+    # one pass: lines fold to (product, description), from which all three are derived
+    counts = tx.where(F.col(STOCK).isNotNull()).groupBy(STOCK, DESCRIPTION).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(UNIT_PRICE).alias("_min"), F.max(UNIT_PRICE).alias("_max"))
+    order = F.struct(F.col(DESCRIPTION).isNull(), -F.col("_n"), F.col(DESCRIPTION))
+    return counts.groupBy(STOCK).agg(F.min_by(DESCRIPTION, order).alias(DESCRIPTION),
+                                     F.min("_min").alias("MinUnitPrice"), F.max("_max").alias("MaxUnitPrice"))

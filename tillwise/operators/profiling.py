@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwise.functions.numeric import nan_to_null, round_stat
+from tillwise.functions.materialize import materialize_table
+from tillwise.functions.numeric import nan_to_null
 from tillwise.functions.quantiles import exact_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -62,25 +63,33 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFra
 def grouped_describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """P3 per group: by..., column, count, mean, std (n-1), min, q25, q50, q75, max.
 
-    Means and deviations are rounded to 6 decimals (presentation); quantiles,
-    minima and maxima are exact values.
+    One read of the source: equal values of a column fold to one row with a count (map-side first), and every
+    statistic comes from that table. Nothing is rounded here. A column without any value has count 0 and NULL statistics.
     """
     by = list(by)
-    long = _long(df, cols, by)
-    moments = long.groupBy(*by, "column").agg(
-        F.count("value").alias("count"),
-        round_stat(F.avg("value")).alias("mean"),
-        round_stat(F.stddev_samp("value")).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=[*by, "column"], out="_q",
-                         count_col="_qn")
-    joined = moments.join(qs, [*by, "column"], "left")
+    keys = [*by, "column"]
+    counted = materialize_table(_long(df, cols, by).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_c")), "values")
+    v, c = F.col("value"), F.col("_c")
+    n = F.sum(F.when(v.isNotNull(), c))
+    moments = counted.groupBy(*keys).agg(F.coalesce(n, F.lit(0)).alias("count"), (F.sum(v * c) / n).alias("mean"),
+                                         F.min(v).alias("min"), F.max(v).alias("max"))
+    spread = _same(counted, moments.select(*keys, "mean", "count"), keys).where(v.isNotNull()) \
+        .groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))), F.max("count") - 1)).alias("std"))
+    qs = exact_quantiles(counted, "value", [0.25, 0.5, 0.75], by=keys, out="_q", count_col="_qn", weight="_c")
+    joined = _same(_same(moments, spread, keys, "left"), qs, keys, "left")
     return joined.select(*by, "column", "count", "mean", "std", "min",
                          F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
                          F.col("_q")[2].alias("q75"), "max")
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL; the right side's other columns come along."""
+    a, b = left.alias("_l"), right.alias("_r")
+    cond = reduce(lambda x, y: x & y, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
+    return a.join(b, cond, how).select(*[F.col(f"_l.{c}") for c in left.columns],
+                                       *[F.col(f"_r.{c}") for c in right.columns if c not in left.columns])
+
+
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Describe the numeric columns (exact quantiles, not approximate)."""
     return grouped_describe(df, list(cols) if cols is not None else columns_of_type(df, "numeric"))
@@ -127,9 +136,21 @@ def preview(df: DataFrame, n: int = 5, order: Sequence[str] | None = None) -> Da
 def nunique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """P5: distinct non-missing values per column; ``approx`` uses HyperLogLog++."""
     cols = list(cols or df.columns)
-    agg = F.approx_count_distinct if approx else F.count_distinct
-    one = df.agg(*[agg(F.col(c)).alias(f"nunique__{c}") for c in cols])
-    return _rows_per_column(one, cols, ["nunique"])
+    if approx:
+        one = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"nunique__{c}") for c in cols])
+        return _rows_per_column(one, cols, ["nunique"])
+    # one (column, value) row per cell, folded before the shuffle; several distinct counts in one aggregate would
+    # copy each wide row once per column instead
+    pairs = _text_cells(df, cols).where(F.col("value").isNotNull()).distinct()
+    counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("_n"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(counts, "column", "left").select("column", F.coalesce("_n", F.lit(0)).alias("nunique"))
+
+
+def _text_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value as text): one row per cell, from one read."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]
+    return df.select(F.inline(F.array(*cells)))
 
 
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -149,24 +170,23 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def distinct_values(df: DataFrame, cols: Sequence[str] | None = None, k: int | None = 50) -> DataFrame:
     """Per text column, up to ``k`` distinct values (missing is a
-    value), smallest first; ``k=None`` gives all of them. Each column is its own
-    distinct + top-k (per-partition top-k, merged once), unioned."""
+    value), smallest first; ``k=None`` gives all of them. One read of the source for
+    all columns; the limit is a group limit per partition ahead of the shuffle."""
     cols = list(cols if cols is not None else columns_of_type(df, "string"))
-    parts = []
-    for c in cols:
-        d = df.select(F.col(c).cast("string").alias("value")).distinct()
-        if k is not None:
-            d = d.orderBy(F.asc_nulls_first("value")).limit(k)
-        parts.append(d.select(F.lit(c).alias("column"), "value"))
-    return reduce(DataFrame.unionByName, parts)
+    values = _text_cells(df, cols).distinct()
+    if k is None:
+        return values
+    first = Window.partitionBy("column").orderBy(F.asc_nulls_first("value"))
+    return values.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
 
 
 def boxplot_stats(df: DataFrame, cols: Sequence[str] | None = None, whis: float = 1.5) -> DataFrame:
     """Per numeric column the box-plot statistics: q1, median, q3, whisker
     ends (furthest values within whis*IQR of the box) and the number of fliers."""
     cols = list(cols if cols is not None else columns_of_type(df, "numeric"))
-    long = _long(df, cols).where(F.col("value").isNotNull())
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], out="_q", count_col="_n")
+    long = materialize_table(_long(df, cols).where(F.col("value").isNotNull())
+                             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c")), "values")
+    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], out="_q", count_col="_n", weight="_c")
     fences = qs.select("column", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                        F.col("_q")[2].alias("q3"))
     fences = fences.withColumns({
@@ -179,7 +199,7 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str] | None = None, whis: float
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_low"),
         F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_high"),
-        F.count_if((v < F.col("_lo")) | (v > F.col("_hi"))).alias("n_fliers"))
+        F.coalesce(F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), F.col("_c"))), F.lit(0)).alias("n_fliers"))
 
 
 def key_uniqueness(df: DataFrame, key: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.materialize import materialize
+from tillwise.functions.materialize import materialize, materialize_table
 from tillwise.functions.numeric import money_sum
 from tillwise.functions.quantiles import bin_by_edges, quantile_edges
 from tillwise.functions.scalars import attach_scalars
@@ -38,8 +38,8 @@ OTHER_SEGMENT = "Others"
 
 
 def last_purchase(tx: DataFrame) -> DataFrame:
-    """Latest InvoiceDate per customer."""
-    return tx.groupBy(CUSTOMER).agg(F.max(INVOICE_DATE).alias(LAST_PURCHASE))
+    """Latest InvoiceDate per customer (lines without a customer are no customer)."""
+    return tx.where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER).agg(F.max(INVOICE_DATE).alias(LAST_PURCHASE))
 
 
 def reference_date(tx: DataFrame, days: int = 1) -> DataFrame:
@@ -56,19 +56,27 @@ def rfm(tx: DataFrame, churn_days: int | None = None, country: bool = False) ->
     purchase overall minus ``churn_days`` days. With ``country`` the customer's
     most frequent Country (smallest on ties, CL2) comes from the same pass."""
     # one pass over the lines; the customer-level result is written once because
-    # the dataset-wide latest purchase (= the latest of the per-customer maxima)
-    # is read from it: a column-pruned second evaluation would re-read the lines
-    aggs = [F.max(INVOICE_DATE).alias(LAST_PURCHASE),
-            F.count_distinct(INVOICE).alias(FREQUENCY),
-            money_sum(F.col(TOTAL_PRICE)).alias(MONETARY)]
+    # the dataset-wide latest purchase (= the latest of the per-customer maxima,
+    # lines without a customer included) is read from it: a column-pruned second
+    # evaluation would re-read the lines
     if country:
-        aggs.append(F.mode(COUNTRY, True).alias(COUNTRY))
-    per_customer = materialize(tx.groupBy(CUSTOMER).agg(*aggs))
+        # lines fold to (customer, country, invoice) once; the metrics and the
+        # country counts are both read from that table
+        pieces = materialize_table(tx.groupBy(CUSTOMER, COUNTRY, INVOICE).agg(
+            F.max(INVOICE_DATE).alias("_last"), _money(TOTAL_PRICE).alias("_money"), F.count(F.lit(1)).alias("_n")), "invoices")
+        metrics = pieces.groupBy(CUSTOMER).agg(F.max("_last").alias(LAST_PURCHASE), F.count_distinct(INVOICE).alias(FREQUENCY),
+                                               F.sum("_money").cast("double").alias(MONETARY))
+        homes = most_frequent(pieces.where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER, COUNTRY).agg(F.sum("_n").alias("_n")),
+                              [CUSTOMER], COUNTRY)
+        per_customer = materialize(metrics.join(homes, CUSTOMER, "left"))
+    else:
+        per_customer = materialize(tx.groupBy(CUSTOMER).agg(
+            F.max(INVOICE_DATE).alias(LAST_PURCHASE), F.count_distinct(INVOICE).alias(FREQUENCY), money_sum(F.col(TOTAL_PRICE)).alias(MONETARY)))
     latest = F.max(LAST_PURCHASE)
     scalars = [F.timestamp_add("DAY", F.lit(1), latest).alias(REFERENCE_DATE)]
     if churn_days is not None:
         scalars.append(F.timestamp_add("DAY", F.lit(-churn_days), latest).alias("_churn_before"))
-    with_ref = attach_scalars(per_customer, per_customer.agg(*scalars))
+    with_ref = attach_scalars(per_customer.where(F.col(CUSTOMER).isNotNull()), per_customer.agg(*scalars))
     cols = [
         CUSTOMER,
         F.timestamp_diff("DAY", F.col(LAST_PURCHASE), F.col(REFERENCE_DATE)).cast("int").alias(RECENCY),
@@ -82,6 +90,18 @@ def rfm(tx: DataFrame, churn_days: int | None = None, country: bool = False) ->
     return with_ref.select(*cols)
 
 
+def most_frequent(counts: DataFrame, by: Sequence[str], value: str, n: str = "_n") -> DataFrame:
+    """by..., value: the value with the largest count per group, the smallest on ties, NULL if no other is known.
+    From counted values, so no task holds a value -> count map of a group."""
+    order = F.struct(F.col(value).isNull(), -F.col(n), F.col(value))
+    return counts.groupBy(*by).agg(F.min_by(value, order).alias(value))
+
+
+def _money(column: str):
+    """The decimal behind money_sum, to be added up further."""
+    return money_sum(F.col(column)).cast("decimal(28,4)")
+
+
 def quantile_score(df: DataFrame, column: str, out: str, q: int = 5, reverse: bool = False,
                    duplicates: str = "drop") -> DataFrame:
     """R8 (and R7 with ``duplicates='raise'``): score a column by its exact quantile bins.
@@ -109,8 +129,7 @@ def score_rfm(rfm_df: DataFrame, q: int = 5, duplicates: str = "drop") -> DataFr
     columns stacked long, then attached as one row.
     """
     cols = [(RECENCY, R_SCORE, True), (FREQUENCY, F_SCORE, False), (MONETARY, M_SCORE, False)]
-    # the customer table feeds both its own edges and the scored output: compute it once
-    rfm_df = materialize(rfm_df)
+    # the customer table feeds both its own edges and the scored output; rfm() has written it already
     long = rfm_df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c, _, _ in cols
     ])).alias("_s")).select("_s._col", "_s._val")

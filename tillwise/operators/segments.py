@@ -65,5 +65,5 @@ def segment_top_products(tx: DataFrame, customers: DataFrame, n: int = 10, seg:
 
 def segment_countries(tx: DataFrame, customers: DataFrame, seg: str | None = None,
                       largest: bool = False) -> DataFrame:
-    """SG6: per segment, lines per Country (largest first when displayed)."""
-    return _segment_line_counts(tx, customers, COUNTRY, seg, largest)
+    """SG6: per segment, lines per Country, largest first within a segment (ties by name)."""
+    return _segment_line_counts(tx, customers, COUNTRY, seg, largest).orderBy(SEGMENT, F.desc("count"), COUNTRY)
