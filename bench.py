@@ -28,6 +28,7 @@ BENCH = [
     ("segment_top_products", "sg5_segment_top_products", "collect"),
     ("segment_profile", "sg3_segment_profile", "collect"),
     ("churn_flags", "ch4_churn_count", "collect"),
+    ("run_analysis", "a1_run_analysis", "collect"),
 ]
 
 

@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tillwise.plans.oracle import oracle_sql as core_oracle
+from tillwise.plans.registry import queries as core_queries
 
 from conftest import SF_SMALL
 
@@ -21,12 +23,9 @@ def test_entry_smoke(spark):
     assert sum(r["count"] for r in rows) > 0
 
 
-def test_every_query_has_oracle_or_is_a_model_fit():
-    qs, sql = E.queries(), E.oracle_sql()
-    assert set(sql) <= set(qs)
-    rows_only = set(qs) - set(sql)
-    assert rows_only == {"ch8_churn_predictions", "ch9_13_metrics_model", "cl7_clv_predictions",
-                         "cl8_10_metrics_model"}
+def test_every_query_has_an_oracle():
+    assert set(core_queries()) == set(core_oracle())
+    assert set(core_queries()) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def _norm(v):
@@ -52,7 +51,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(core_oracle()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]

@@ -1,6 +1,7 @@
 """Split, metrics and model fits."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tillwise.operators import models as M
@@ -43,6 +44,20 @@ def test_regression_metrics(spark):
     assert abs(m["r2"] - (1 - (err ** 2).sum() / sst)) < 1e-12
 
 
+def test_missing_features_are_neither_skipped_nor_guessed(spark):
+    rows = [(i, float(i % 7), float(i), float(i % 2), i % 2) for i in range(40)]
+    train = spark.createDataFrame(rows, "CustomerID long, a double, b double, c double, Churn int")
+    test = train.withColumn("b", F.when(F.col("CustomerID") % 2 == 0, F.col("b")))
+    pred = M.predict(M.train_churn(train, cols=["a", "b", "c"], num_trees=5, max_depth=4), test, label="Churn").collect()
+    assert len(pred) == 40 and all((r.prediction is None) == (r.CustomerID % 2 == 1) for r in pred)
+    with pytest.raises(ValueError, match="20 of 40"):
+        M.train_churn(test, cols=["a", "b", "c"])
+    assert M.complete_rows(test, ["a", "b", "c"]).count() == 20
+    assert M.features(test, ["a", "b", "c"]).where("features IS NULL").count() == 20
+    few = M.train_churn(train, cols=["a", "b", "c"], num_trees=3, max_depth=3, max_rows=10)
+    assert M.predict(few, train).count() == 40
+
+
 def test_models_fit_and_predict(spark):
     cust = with_clv(R.rfm_segmented(retail_lines(spark, SF_SMALL), churn_days=90))
     parts = M.hash_split(cust)

@@ -1,10 +1,12 @@
 """The whole customer-behaviour analysis as one call, the way the reference runs it
 top to bottom, but with every shared input computed once.
 
-``run_analysis`` cleans the raw lines (C12 by default), writes them once to the
+``run_analysis`` cleans the raw lines (C12 by default) with one copy of them in the
 shared folder, builds the customer table (RFM, scores, segment, churn, CLV,
-home country) once, and derives every report from those two tables. Reports are
-lazy DataFrames except where noted; the model fits run when requested.
+home country) once, and derives every report from those two tables. Building it
+runs jobs; the reports themselves are DataFrames, the model fits run when requested.
+Wrap the call and the use of its reports in ``session.scratch_scope`` to have the
+tables in the shared folder deleted afterwards.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ def run_analysis(raw: DataFrame, order: str = "dedupe_first", churn_days: int =
     out: dict[str, DataFrame] = {}
     out["raw_shape"] = P.shape(raw)
     out["raw_missing"] = P.null_counts(raw)
-    lines = materialize_table(C.clean(raw, order=order), "clean-lines")
+    lines = C.clean(raw, order=order)
+    if order == "outliers_first":  # ends with a dedupe: computed once; else the lines are a filter over a written table
+        lines = materialize_table(lines, "clean-lines")
     out["clean_shape"] = P.shape(lines)
     out["clean_describe"] = P.describe(lines, [QUANTITY, UNIT_PRICE, TOTAL_PRICE])
     out["clean_duplicates"] = P.duplicate_count(lines)

@@ -1,6 +1,8 @@
 """Named analyses over the test tables: one callable ``(spark, sf_dir) -> DataFrame``
 per operator of the inventory. Each reads the whole tables (through the retail
-views in ``tillwise.sources.testdata``) and returns a lazy DataFrame.
+views in ``tillwise.sources.testdata``) and returns a DataFrame. Operators that need
+an intermediate more than once (quantiles, RFM, cleaning, dual lists) run jobs and
+write it to the shared folder while the DataFrame is built.
 
 Keys start with the inventory id (s, p, c, e, r, pr, ch, cl, sg, v).
 """
@@ -8,7 +10,9 @@ Keys start with the inventory id (s, p, c, e, r, pr, ch, cl, sg, v).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,7 @@ from tillwise.operators import products as PR
 from tillwise.operators import profiling as P
 from tillwise.operators import rfm as R
 from tillwise.operators import segments as SG
+from tillwise.plans.analysis import run_analysis
 from tillwise.schema import (
     CHURN, CLV, COUNTRY, CUSTOMER, F_SCORE, FREQUENCY, M_SCORE, MODEL_FEATURES, MONETARY, QUANTITY,
     R_SCORE, RECENCY, RFM_SCORE, SEGMENT, TOTAL_PRICE, UNIT_PRICE,
@@ -30,14 +35,11 @@ from tillwise.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The date windows of the period fixtures.
-PERIODS = {
-    "q1": ("1995-01-01", "1995-04-01"),
-    "h1": ("1995-01-01", "1995-07-01"),
-    "y1": ("1995-01-01", "1996-01-01"),
-    "y2": ("1995-01-01", "1997-01-01"),
-}
+# Whole-table fixtures with few distinct invoices per customer, so that quantile edges repeat: the
+# number of invoice ids that all order keys fold to.
+COARSE = {"const": 1, "coarse2": 2, "coarse3": 3, "coarse6": 6}
 EVENT_CHURN_DAYS = 5
+CHOSEN_SEGMENT = "At Risk"
 
 
 # ---------------------------------------------------------------- inputs
@@ -46,9 +48,9 @@ def _tx(spark, d):
     return TD.retail_lines(spark, d)
 
 
-def _period(name):
+def _coarse(name):
     def f(spark, d):
-        return TD.period_lines(spark, d, *PERIODS[name])
+        return TD.coarse_lines(spark, d, COARSE[name])
     return f
 
 
@@ -96,7 +98,7 @@ def p2_column_info(spark, d):
 
 
 def p3_describe(spark, d):
-    return P.describe(_tx(spark, d))
+    return _describe_rounded(P.describe(_tx(spark, d)))
 
 
 def p3b_describe_datetime(spark, d):
@@ -140,7 +142,7 @@ def p10_duplicate_count_dirty(spark, d):
 
 
 def p12_describe_cleaned(spark, d):
-    return P.describe(C.clean(_dirty(spark, d)), [QUANTITY, UNIT_PRICE, CUSTOMER, TOTAL_PRICE])
+    return _describe_rounded(P.describe(C.clean(_dirty(spark, d)), [QUANTITY, UNIT_PRICE, CUSTOMER, TOTAL_PRICE]))
 
 
 def c1_drop_missing_dirty(spark, d):
@@ -287,6 +289,14 @@ def pr7_dual_top_by_revenue(spark, d):
     return PR.dual_top_products(PR.product_performance(_tx(spark, d)), 10, order_by="TotalRevenue")
 
 
+def pr6_dual_top_n5(spark, d):
+    return PR.dual_top_products(PR.product_performance(_tx(spark, d)), 5)
+
+
+def pr6_dual_top_n20(spark, d):
+    return PR.dual_top_products(PR.product_performance(_tx(spark, d)), 20)
+
+
 def pr8_dual_top_summary(spark, d):
     return PR.dual_top_summary(PR.product_performance(_tx(spark, d)), 10)
 
@@ -300,6 +310,12 @@ def ch2_churned_customers(spark, d):
 
 
 def ch3_churn_flag(spark, d):
+    # the flag comes out of the RFM aggregate: the lines are read once
+    return R.rfm(_tx(spark, d), churn_days=90).select(CUSTOMER, CHURN)
+
+
+def ch3_churn_flag_joined(spark, d):
+    """The flag as a join, for a customer table that exists already."""
     tx = _tx(spark, d)
     return CU.churn_flag(R.rfm(tx), tx).select(CUSTOMER, CHURN)
 
@@ -312,8 +328,15 @@ def ch4_churn_count_events(spark, d):
     return CU.churn_count(R.rfm(TD.event_lines(spark, d), churn_days=EVENT_CHURN_DAYS))
 
 
+def _vector_columns(df, label):
+    """The assembled vector, taken apart again: what the models are given."""
+    parts = M.features(df).withColumn("_v", vector_to_array("features"))
+    kinds = dict(df.dtypes)
+    return parts.select(CUSTOMER, *[F.col("_v")[i].cast(kinds[c]).alias(c) for i, c in enumerate(MODEL_FEATURES)], label)
+
+
 def ch5_features(spark, d):
-    return _analysis(spark, d).select(CUSTOMER, *MODEL_FEATURES, CHURN)
+    return _vector_columns(_analysis(spark, d), CHURN)
 
 
 def ch6_split(spark, d):
@@ -328,11 +351,23 @@ def _churn_model_predictions(spark, d):
 
 
 def ch8_churn_predictions(spark, d):
-    return _churn_model_predictions(spark, d)
+    """Every test customer with its label and whether it got a prediction of 0 or 1 (the trees are not SQL)."""
+    return _churn_model_predictions(spark, d).select(CUSTOMER, CHURN, F.col("prediction").isin(0.0, 1.0).alias("predicted"))
 
 
 def ch9_13_metrics_model(spark, d):
-    return M.binary_metrics(_churn_model_predictions(spark, d))
+    """The forest's metrics on the leaking feature set (Recency decides Churn), as bounds they must meet."""
+    m = M.binary_metrics(_churn_model_predictions(spark, d))
+    return m.select(*[(F.col(c) >= 0.99).alias(f"{c}_ok") for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
+
+
+def ch9_13_metrics_leak_free(spark, d):
+    """The forest without Recency and the scores made of it: the metrics stay bounds, now of chance and certainty."""
+    parts = M.hash_split(_analysis(spark, d))
+    cols = [FREQUENCY, MONETARY, F_SCORE, M_SCORE]
+    model = M.train_churn(parts.where(~F.col(M.IS_TEST)), cols=cols, max_depth=10, min_rows_per_leaf=20)
+    m = M.binary_metrics(M.predict(model, parts.where(F.col(M.IS_TEST)), label=CHURN))
+    return m.select((F.col("accuracy") > 0.4).alias("accuracy_ok"), F.col("roc_auc").between(0.4, 0.99).alias("roc_auc_ok"))
 
 
 def ch9_13_metrics_rule(spark, d):
@@ -355,7 +390,7 @@ def cl3_with_country(spark, d):
 
 
 def cl4_features(spark, d):
-    return _analysis(spark, d).select(CUSTOMER, *MODEL_FEATURES, CLV)
+    return _vector_columns(_analysis(spark, d), CLV)
 
 
 def _line_fit_parts(spark, d):
@@ -385,11 +420,13 @@ def _clv_model_predictions(spark, d):
 
 
 def cl7_clv_predictions(spark, d):
-    return _clv_model_predictions(spark, d)
+    """CLV is a feature itself (Monetary), so the least-squares predictions equal it to the cent."""
+    return _clv_model_predictions(spark, d).select(CUSTOMER, CLV, F.round("prediction", 2).alias("prediction"))
 
 
 def cl8_10_metrics_model(spark, d):
-    return M.regression_metrics(_clv_model_predictions(spark, d))
+    m = M.regression_metrics(_clv_model_predictions(spark, d))
+    return m.select(F.round("mae", 2).alias("mae"), F.round("mse", 2).alias("mse"), round_stat(F.col("r2")).alias("r2"))
 
 
 def sg1_top_segment(spark, d):
@@ -400,8 +437,16 @@ def sg2_in_segment(spark, d):
     return SG.in_segment(_scored(spark, d))
 
 
+def sg2_in_segment_named(spark, d):
+    return SG.in_segment(_scored(spark, d), CHOSEN_SEGMENT)
+
+
 def sg3_segment_profile(spark, d):
-    return SG.segment_profile(_scored(spark, d))
+    return _describe_rounded(SG.segment_profile(_scored(spark, d)))
+
+
+def sg3_segment_profile_named(spark, d):
+    return _describe_rounded(SG.segment_profile(_scored(spark, d), CHOSEN_SEGMENT))
 
 
 def sg4_tx_with_segment(spark, d):
@@ -419,11 +464,70 @@ def sg5_top_segment_products(spark, d):
     return SG.segment_top_products(tx, R.rfm_segmented(tx), 10, largest=True)
 
 
+def sg5_named_segment_products(spark, d):
+    tx = _tx(spark, d)
+    return SG.segment_top_products(tx, R.rfm_segmented(tx), 10, seg=CHOSEN_SEGMENT)
+
+
 def sg6_segment_countries(spark, d):
     tx = _tx(spark, d)
     return SG.segment_countries(tx, R.rfm_segmented(tx))
 
 
+def sg6_named_segment_countries(spark, d):
+    tx = _tx(spark, d)
+    return SG.segment_countries(tx, R.rfm_segmented(tx), seg=CHOSEN_SEGMENT)
+
+
+# the second table's profiles: the customer (RFM) table
+
+def p2_rfm_column_info(spark, d):
+    return P.column_info(_scored(spark, d))
+
+
+def p3_rfm_describe(spark, d):
+    return _describe_rounded(P.describe(_scored(spark, d)))
+
+
+def p5_rfm_nunique(spark, d):
+    return P.nunique(_scored(spark, d))
+
+
+def p6_rfm_null_counts(spark, d):
+    return P.null_counts(R.rfm_segmented(TD.coarse_lines(spark, d, 1)))
+
+
+def p7b_segments(spark, d):
+    return P.distinct_values(_scored(spark, d), [SEGMENT], k=None)
+
+
+def p8_rfm_boxplot_stats(spark, d):
+    return P.boxplot_stats(_scored(spark, d), C.RFM_OUTLIER_COLUMNS)
+
+
+def p10_rfm_duplicate_count(spark, d):
+    return P.duplicate_count(_scored(spark, d))
+
+
+def a1_run_analysis(spark, d):
+    """The whole analysis from dirty raw lines in one call; the small reports, as (report, item, value)."""
+    r = run_analysis(_dirty(spark, d))
+
+    def rows(name, item, value):
+        return r[name].select(F.lit(name).alias("report"), item.cast("string").alias("item"), F.col(value).cast("bigint").alias("value"))
+
+    parts = [rows("raw_shape", F.lit("rows"), "rows"), rows("raw_missing", F.col("column"), "missing"), rows("clean_shape", F.lit("rows"), "rows"),
+             rows("clean_describe", F.col("column"), "count"), rows("clean_duplicates", F.lit("rows"), "duplicates"),
+             rows("segment_counts", F.col(SEGMENT), "count"), rows("churned", F.lit("customers"), "churned"),
+             rows("dual_top_summary", F.concat_ws("/", "quantity_leader", "revenue_leader"), "n_common")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _describe_rounded(df: DataFrame) -> DataFrame:
+    """Means and deviations to 6 decimals, for display and comparison."""
+    return df.withColumns({"mean": round_stat(F.col("mean")), "std": round_stat(F.col("std"))})
+
+
 def _round_all(df: DataFrame) -> DataFrame:
     return df.select(*[round_stat(F.col(c)).alias(c) if t == "double" else F.col(c)
                        for c, t in df.dtypes])
@@ -470,14 +574,14 @@ def queries() -> dict[str, Query]:
         "r6_rfm": r6_rfm,
         "r7_strict_monetary": r7_strict_monetary,
         "r8_scores": _scores_of(_tx),
-        "r8_scores_h1": _scores_of(_period("h1")),
-        "r8_scores_y2": _scores_of(_period("y2")),
+        "r8_scores_const": _scores_of(_coarse("const")),
+        "r8_scores_coarse3": _scores_of(_coarse("coarse3")),
         "r9_rfm_score": r9_rfm_score,
         "r10_segments": r10_segments,
         "r11_segment_counts": _counts_of(_tx),
-        "r11_segment_counts_q1": _counts_of(_period("q1")),
-        "r11_segment_counts_y1": _counts_of(_period("y1")),
-        "r11_segment_counts_y2": _counts_of(_period("y2")),
+        "r11_segment_counts_coarse2": _counts_of(_coarse("coarse2")),
+        "r11_segment_counts_coarse3": _counts_of(_coarse("coarse3")),
+        "r11_segment_counts_coarse6": _counts_of(_coarse("coarse6")),
         "r11_segment_counts_clock": _counts_of(TD.clock_lines),
         "r11_segment_counts_events": r11_segment_counts_events,
         "r11_segment_counts_cleaned": r11_segment_counts_cleaned,
@@ -487,16 +591,20 @@ def queries() -> dict[str, Query]:
         "pr5_top_revenue": pr5_top_revenue,
         "pr6_dual_top": pr6_dual_top,
         "pr7_dual_top_by_revenue": pr7_dual_top_by_revenue,
+        "pr6_dual_top_n5": pr6_dual_top_n5,
+        "pr6_dual_top_n20": pr6_dual_top_n20,
         "pr8_dual_top_summary": pr8_dual_top_summary,
         "ch1_churn_threshold": ch1_churn_threshold,
         "ch2_churned_customers": ch2_churned_customers,
         "ch3_churn_flag": ch3_churn_flag,
+        "ch3_churn_flag_joined": ch3_churn_flag_joined,
         "ch4_churn_count": ch4_churn_count,
         "ch4_churn_count_events": ch4_churn_count_events,
         "ch5_features": ch5_features,
         "ch6_split": ch6_split,
         "ch8_churn_predictions": ch8_churn_predictions,
         "ch9_13_metrics_model": ch9_13_metrics_model,
+        "ch9_13_metrics_leak_free": ch9_13_metrics_leak_free,
         "ch9_13_metrics_rule": ch9_13_metrics_rule,
         "cl1_clv": cl1_clv,
         "cl2_customer_country": cl2_customer_country,
@@ -513,6 +621,18 @@ def queries() -> dict[str, Query]:
         "sg5_segment_top_products": sg5_segment_top_products,
         "sg5_top_segment_products": sg5_top_segment_products,
         "sg6_segment_countries": sg6_segment_countries,
+        "sg2_in_segment_named": sg2_in_segment_named,
+        "sg3_segment_profile_named": sg3_segment_profile_named,
+        "sg5_named_segment_products": sg5_named_segment_products,
+        "sg6_named_segment_countries": sg6_named_segment_countries,
+        "p2_rfm_column_info": p2_rfm_column_info,
+        "p3_rfm_describe": p3_rfm_describe,
+        "p5_rfm_nunique": p5_rfm_nunique,
+        "p6_rfm_null_counts": p6_rfm_null_counts,
+        "p7b_segments": p7b_segments,
+        "p8_rfm_boxplot_stats": p8_rfm_boxplot_stats,
+        "p10_rfm_duplicate_count": p10_rfm_duplicate_count,
+        "a1_run_analysis": a1_run_analysis,
     }
     # chart datasets (V1-V4) are the tables behind each chart
     q["v1_segment_distribution"] = q["r11_segment_counts"]
