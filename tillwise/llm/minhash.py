@@ -142,7 +142,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("did").alias("b"), F.col("s").alias("sb"))
     y = sets.select(F.col("did").alias("a"), F.col("s").alias("sa"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(x, "b").join(y, "a").where(_reachable(F.size("sa"), F.size("sb"), both, percent)).select("a", "b")
+    # both are shuffle joins at any size: sets are long, and their total grows with the candidates
+    return pairs.hint("merge").join(x, "b").hint("merge").join(y, "a").where(_reachable(F.size("sa"), F.size("sb"), both, percent)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
@@ -169,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubbed = materialize_table(buckets.join(hubs, "bucket"), "hubs")
     pairs = hubbed.where((F.col("did") != F.col("hub")) & fit).select(F.col("hub").alias("a"), F.col("did").alias("b")).distinct()
     wanted = buckets.select("did").distinct()
-    sets = materialize_table(base.join(wanted, "did", "left_semi").mapInArrow(partial(_set_rows, shingle=shingle), "did long, s array<long>")
+    sets = materialize_table(base.hint("merge").join(wanted, "did", "left_semi").mapInArrow(partial(_set_rows, shingle=shingle), "did long, s array<long>")
                              .dropDuplicates(["did"]), "sets")
     links = materialize_table(_links(pairs, sets, percent), "links")
     component = connected_components(links)
@@ -196,7 +197,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x = alive.where("did != hub").select("bucket", F.col("did").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"),
                                              F.col("dc").alias("ca"), (F.col("dc") != F.col("hc")).alias("too"))
         possible = _reachable("na", "nb", F.least("na", "nb", "ma", "mb"), percent)
-        more = x.join(y, "bucket").where((F.col("ca") != F.col("cb")) & possible & (~F.col("too") | (F.col("a") < F.col("b")))) \
+        # a pair is compared in the first bucket that its two members share
+        codes = known.select("did", "bands").join(alive.select("did").distinct(), "did", "left_semi").dropDuplicates(["did"])
+        x = x.join(codes.select(F.col("did").alias("a"), F.col("bands").alias("ka")), "a")
+        y = y.join(codes.select(F.col("did").alias("b"), F.col("bands").alias("kb")), "b")
+        here = F.array_position("ka", F.col("bucket")).cast("int") - 1
+        earlier = F.exists(F.zip_with(F.slice("ka", F.lit(1), here), F.slice("kb", F.lit(1), here), lambda p, q: p == q), lambda e: e)
+        more = x.join(y, "bucket").where((F.col("ca") != F.col("cb")) & possible & (~F.col("too") | (F.col("a") < F.col("b"))) & ~earlier) \
             .select("a", "b").distinct()
         late = materialize_table(_links(more, sets, percent), "late_links")
         if not late.isEmpty():
