@@ -119,7 +119,7 @@ def test_language(spark, docs, empty):
     for c, lang in enumerate(model.languages):
         for w in ("the", "de", "la", "und"):
             if count.get((lang, w), 0) > 50:  # surely among the words kept
-                assert model.table[model.words[w], c] == pytest.approx(-np.log10(count[lang, w] / total[lang]))
+                assert model.words[w][c] == pytest.approx(-np.log10(count[lang, w] / total[lang]))
     assert all(r.lang_pred == _brute_language(model, truth[r.doc_id][1]) for r in rows[:300])
     odd = {r.doc_id: r for r in language_id.identify_languages(docs).collect() if r.doc_id is not None and r.doc_id < 3}
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in range(3))

@@ -11,8 +11,8 @@ Scale. Words are counted over all training documents: each task counts its words
 sends (language, word, count); Spark adds them up. N-grams are counted from the distinct words, weighted
 by the counts. The model keeps the most frequent ``top_words`` words and ``top_grams`` grams of each
 length for each of at most ``max_languages`` languages, so the part that travels to the driver and to
-the tasks has a fixed bound. Prediction is one pass over the texts with no shuffle; each worker keeps a
-bounded cache of scored words.
+the tasks has a fixed bound (words of equal count stay or go together). Prediction is one pass over the
+texts with no shuffle; each worker keeps a bounded cache of scored words.
 
 Defined cases. Null text, or text without a letter: ``und``, score 0. No training documents: ``und`` for
 all. Ties: the language that sorts first. Null id: predicted, not held out, and used for training like
@@ -22,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -37,12 +38,14 @@ from tillwise.llm.shipping import shipped
 
 LONGEST, PENALTY, EVIDENCE = 5, 7.0, 8
 TOP_WORDS, TOP_GRAMS, MAX_LANGUAGES = 10_000, 5_000, 200
-TABLE_ROWS, CACHE_ROWS = 400_000, 300_000
+TABLE_ROWS, CACHE_ROWS = 400_000, 400_000
 
 
 def normal(token: str) -> str | None:
     """The word in a token: lower case, without what is no letter at its ends; None if it has no letter."""
     token = token.lower()
+    if token.isalpha():
+        return token
     i, j = 0, len(token)
     while i < j and not token[i].isalpha():
         i += 1
@@ -98,7 +101,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Scores in -log10 for each language: ``words`` and ``grams`` give a row of ``table``."""
+    """Scores in -log10 for each language, by word and by n-gram."""
 
     def __init__(self, languages: list[str], words: list[tuple[str, str, int]], grams_: list[tuple[str, str, int]], totals: dict):
         self.languages = languages
@@ -110,65 +113,91 @@ class Model:
                 size = len(key) if kind else 0
                 row = keys.setdefault((kind, key), len(keys))
                 cells.append((row, at[lang], -np.log10(n / totals[lang, size])))
-        self.table = np.full((len(keys), len(languages)), PENALTY)
+        table = np.full((len(keys), len(languages)), PENALTY)
         for r, c, v in cells:
-            self.table[r, c] = v
-        self.words = {k: r for (kind, k), r in keys.items() if not kind}
-        self.grams = {k: r for (kind, k), r in keys.items() if kind}
+            table[r, c] = v
+        rows = table.tolist()
+        self.words = {k: rows[r] for (kind, k), r in keys.items() if not kind}
+        self.grams = {k: rows[r] for (kind, k), r in keys.items() if kind}
+        self.key = hashlib.sha256(repr((languages, sorted(self.words.items()), sorted(self.grams.items()))).encode()).hexdigest()
 
-    def word_scores(self, token: str) -> np.ndarray | None:
+    def word_scores(self, token: str) -> list[float] | None:
         """None: a token without a letter."""
         word = normal(token)
         if word is None:
             return None
         row = self.words.get(word)
         if row is not None:
-            return self.table[row]
+            return row
         get = self.grams.get
+        padded = f" {word} "
         for n in range(LONGEST, 0, -1):
-            known = [r for g in grams(word, n) if (r := get(g)) is not None]
+            known = [r for i in range(len(padded) - n + 1) if (r := get(padded[i:i + n])) is not None]
             if known:
-                return self.table[known].mean(axis=0)
-        return np.full(len(self.languages), PENALTY)
+                return [sum(c) / len(known) for c in zip(*known, strict=True)]
+        return [PENALTY] * len(self.languages)
 
 
 class _Cache(dict):
-    """Token -> row of ``rows`` (scores and a weight: 0 for a token without a letter); at most CACHE_ROWS are kept."""
+    """Token -> row of ``rows`` (scores and a weight: 0 for a token without a letter). ``old``: the cache before this one,
+    whose rows are taken over when they are used again."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, old: _Cache | None = None):
         super().__init__()
-        self.model = model
-        self.rows = np.zeros((1024, len(model.languages) + 1))
+        self.model, self.old = model, old
+        self.rows, self.used, self.new = np.zeros((1 << 14, len(model.languages) + 1)), 0, []
 
     def __missing__(self, token: str) -> int:
         at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        scores = self.model.word_scores(token)
-        self.rows[at] = 0 if scores is None else np.append(scores, 1)
+        if self.old is not None and (i := self.old.get(token)) is not None:
+            self.new.append(self.old.rows[i])
+        else:
+            scores = self.model.word_scores(token)
+            self.new.append([*scores, 1.0] if scores is not None else [0.0] * self.rows.shape[1])
         self[token] = at
         return at
 
+    def flushed(self) -> np.ndarray:
+        """All rows, the new ones included."""
+        if self.new:
+            end = self.used + len(self.new)
+            while end > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.rows[self.used:end] = self.new
+            self.used, self.new = end, []
+        return self.rows
+
+
+#: The cache of this worker process, for the model it has seen last: it serves all its tasks.
+_CACHE: dict[str, _Cache] = {}
+
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    cache = _Cache(model)
+    cache = _CACHE.get(model.key) or _Cache(model)
     for b in batches:
         names, scores = [], []
-        for text in b.column("text"):
-            text = text.as_py()
-            ids = list(map(cache.__getitem__, text.split())) if text else []
-            total = cache.rows[ids].sum(axis=0) if ids else np.zeros(1)
-            if not total[-1] or not model.languages:
-                names.append("und")
-                scores.append(0.0)
-            else:
-                mean = total[:-1] / total[-1]
-                best = int(np.argmin(mean))
-                names.append(model.languages[best])
-                scores.append(float(1 / np.exp(-np.log(10) * min(total[-1], EVIDENCE) * (mean - mean[best])).sum()))
+        texts = b.column("text")
+        for lo in range(0, len(texts), 64):
             if len(cache) > CACHE_ROWS:
-                cache = _Cache(model)
-        yield pa.RecordBatch.from_arrays([b.column("did"), pa.array(names, pa.string()), pa.array(scores)], ["did", "lang_pred", "score"])
+                cache.old = None
+                cache = _Cache(model, cache)
+            get = cache.__getitem__
+            tokens = [(t.as_py() or "").split() for t in texts.slice(lo, 64)]
+            ids = [np.fromiter(map(get, t), np.int64, len(t)) for t in tokens]
+            rows = cache.flushed()
+            for i in ids:
+                total = rows[i].sum(axis=0)
+                if not total[-1] or not model.languages:
+                    names.append("und")
+                    scores.append(0.0)
+                else:
+                    mean = total[:-1] / total[-1]
+                    best = int(np.argmin(mean))
+                    names.append(model.languages[best])
+                    scores.append(float(1 / np.exp(-np.log(10) * min(total[-1], EVIDENCE) * (mean - mean[best])).sum()))
+        yield pa.RecordBatch.from_arrays([b.column("did"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["did", "lang_pred", "score"])
+    _CACHE.clear()
+    _CACHE[model.key] = cache
 
 
 def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_words: int = TOP_WORDS,
@@ -188,11 +217,14 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     counted = words.mapInArrow(_count_grams, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("size", F.length("word"))
     counted = materialize_table(counted, "grams")
     totals |= {(r["lang"], r["size"]): r["total"] for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
-    # top rows by a rank inside each language (and length): Spark limits each partition before the exchange
+    # the most frequent ones: the largest counts that at most n words have. The counts of counts are few, so no task
+    # has to rank the words of a language
     def top(df: DataFrame, by: list[str], n: int) -> list[tuple[str, str, int]]:
-        w = Window.partitionBy(*by).orderBy(F.desc("n"), "word")
-        kept = df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("lang", "word", "n").collect()
-        return sorted(tuple(r) for r in kept)
+        w = Window.partitionBy(*by).orderBy(F.desc("n"))
+        least = df.groupBy(*by, "n").agg(F.count("*").alias("words")).withColumn("upto", F.sum("words").over(w)) \
+            .where(F.col("upto") <= n).groupBy(*by).agg(F.min("n").alias("least"))
+        kept = df.join(F.broadcast(least), by).where(F.col("n") >= F.col("least"))  # a row for each language and length
+        return sorted(tuple(r) for r in kept.select("lang", "word", "n").collect())
     return Model(languages, top(words, ["lang"], top_words), top(counted, ["lang", "size"], top_grams), totals)
 
 
