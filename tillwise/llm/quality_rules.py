@@ -8,8 +8,8 @@ covering ends when a pruned rule's precision falls under ``min_precision`` or it
 The list is short, readable (:func:`describe`) and becomes one ``CASE WHEN`` chain over statistics.
 
 Scale. The statistics are one pass over the texts, with no shuffle. Learning uses a bounded sample:
-the ``max_labels`` labelled documents with the least hash of the id, or all if there are fewer; only
-their statistics (numbers) reach the driver.
+the ``max_labels`` labelled documents with the least hash of the id, or all if there are fewer. Their ids
+and labels are broadcast up to ``MAX_BROADCAST`` of them; only their statistics (numbers) reach the driver.
 
 Defined cases. Null or empty text: all counts 0, so the base rule fails it. Documents without a label
 only get a verdict. Repeated labels of an id: it is bad if their mean is under one half. No labels,
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tillwise.llm import stats
 from tillwise.llm.shipping import shipped
 
-MAX_LABELS = 20_000
+MAX_LABELS, MAX_BROADCAST = 20_000, 200_000
 _S = "__stats"
 
 
@@ -116,6 +116,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """(id, y, features) of the bounded sample; y: mean label."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("did")) \
         .agg(F.avg(label_col).alias("y")).orderBy(F.xxhash64("did"), "did").limit(max_labels)
+    if max_labels <= MAX_BROADCAST:  # (id, label) pairs, bounded by the limit: the texts need no shuffle to meet them
+        known = F.broadcast(known)
     rows = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("text")).join(known, "did") \
         .select("did", "y", stats.counts("text").alias(_S))
     return rows.select("did", "y", *stats.features(_S))
