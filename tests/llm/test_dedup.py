@@ -99,7 +99,7 @@ def _line_rows():
     lines += [f"{hot} {i:04d} and its end" for i in range(150)] + [f"{hot[:20]}{i}{hot[20:]} and its end" for i in range(40)]
     rng.shuffle(lines)
     rows = [(i, "\n".join(lines[i * 5:i * 5 + 5]) + ("\n\n  \n" if i % 3 else "")) for i in range(len(lines) // 5 + 1)]
-    rows += [(90, rows[2][1]), (91, None), (92, ""), (93, " \n\t"), (None, rows[3][1] + "\nlast line of all"), (94, "x" * 30_000), (95, "x" * 30_001)]
+    rows += [(90, rows[2][1]), (91, None), (92, ""), (93, " \n\t"), (None, rows[3][1] + "\nlast line of all"), (94, "x" * 3_000), (95, "x" * 3_001)]
     return rows
 
 

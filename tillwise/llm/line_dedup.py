@@ -16,9 +16,9 @@ as a probe of lines one shorter, without a window of 9). Entries that are still
 with windows of one character. There, lines of one entry differ in that character only: each pair is a
 link of the result, none is only a candidate.
 
-*Verification.* Candidates must agree on half of the spoiled segment (the same argument once more), and
-then pass a banded bit-parallel edit distance: three diagonals as three bits, one step for each
-character, as an ``aggregate`` expression.
+*Verification.* Candidates must agree before and behind one of 16 parts (the same argument once more); the
+texts of that part must then pass a banded bit-parallel edit distance: three diagonals as three bits,
+one step for each character, as an ``aggregate`` expression.
 
 Scale. Occurrences are reduced to distinct lines by 64-bit hashes (map-side combined): a line that a
 third of the documents hold is one row. Only hashes are shuffled up to the verification; the texts of
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.materialize import materialize_table
 from tillwise.llm.components import connected_components
 
-MIN_CHARS, BUCKET, COARSE = 20, 64, 8
+MIN_CHARS, BUCKET, COARSE, PARTS = 20, 64, 8, 16
 _NO_ID = -(1 << 63)
 
 
@@ -55,8 +55,11 @@ def split_lines(text: Column) -> Column:
 def bounded_distance(a: Column, b: Column) -> Column:
     """Edits between two texts if that is 0 or 1, else 2 or more: Hyyro's banded bit-parallel recurrence for a band of three
     diagonals. ``a`` must not be shorter than ``b``. Bit i of a word stands for row j - 1 + i of column j."""
-    p, q = F.split(a, ""), F.split(b, "")
-    m = F.char_length(a)
+    return _let(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("q"), F.char_length(a).alias("m"), F.char_length(b).alias("n")),
+                lambda s: _banded(s["p"], s["q"], s["m"], s["n"]))
+
+
+def _banded(p: Column, q: Column, m: Column, n: Column) -> Column:
     zero = F.lit(0).cast("int")
 
     def step(s: Column, j0: Column) -> Column:
@@ -86,7 +89,6 @@ def bounded_distance(a: Column, b: Column) -> Column:
         return _let(F.struct(eq.alias("eq"), vp.alias("vp"), vn.alias("vn"), s["score"].alias("score")), rest)
 
     start = F.struct(F.lit(4).alias("vp"), zero.alias("vn"), F.least(m, F.lit(1)).alias("score"))
-    n = F.char_length(b)
     steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.when(F.abs(m - n) > 1, F.lit(2)).when(n == 0, m).otherwise(F.aggregate(steps, start, step)["score"])
 
@@ -166,14 +168,17 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     longer, shorter = F.when(F.char_length("la") >= F.char_length("lb"), F.col("la")).otherwise(F.col("lb")), \
         F.when(F.char_length("la") >= F.char_length("lb"), F.col("lb")).otherwise(F.col("la"))
     pairs = pairs.select("a", "b", longer.alias("x"), shorter.alias("y")).where(F.char_length("x") - F.char_length("y") <= 1)
-    # one edit spoils one quarter: what is before it and behind it is equal
+    # one edit spoils one of PARTS parts: what is before it and behind it is equal, and adds no edits
     n = F.char_length("y")
-    c = [F.floor(n * i / 4).cast("int") for i in range(5)]
-    whole = None
-    for i in range(4):
-        ok = (F.left("x", c[i]) == F.left("y", c[i])) & (F.right("x", n - c[i + 1]) == F.right("y", n - c[i + 1]))
-        whole = ok if whole is None else whole | ok
-    links = pairs.where(whole).where(bounded_distance(F.col("x"), F.col("y")) <= 1).select("a", "b")
+    c = [F.floor(n * i / PARTS).cast("int") for i in range(PARTS + 1)]
+    spoiled = F.coalesce(*(F.when((F.left("x", c[i]) == F.left("y", c[i])) & (F.right("x", n - c[i + 1]) == F.right("y", n - c[i + 1])),
+                                  F.struct(c[i].alias("at"), (n - c[i + 1]).alias("behind"))) for i in range(PARTS)))
+    parts = pairs.withColumn("p", spoiled).where("p IS NOT NULL")
+
+    def middle(name: str) -> Column:
+        return F.substring(F.col(name), F.col("p.at") + 1, F.char_length(name) - F.col("p.at") - F.col("p.behind"))
+
+    links = parts.where(bounded_distance(middle("x"), middle("y")) <= 1).select("a", "b")
     return lines.select("h", "first", "copies"), materialize_table(links, "line_links")
 
 
