@@ -9,10 +9,13 @@ and ``score`` is the share of the winner in exp(-n * mean), n at most ``EVIDENCE
 
 Scale. Words are counted over all training documents: each task counts its words in a bounded table and
 sends (language, word, count); Spark adds them up. N-grams are counted from the distinct words, weighted
-by the counts. The model keeps the most frequent ``top_words`` words and ``top_grams`` grams of each
-length for each of at most ``max_languages`` languages, so the part that travels to the driver and to
-the tasks has a fixed bound (words of equal count stay or go together). Prediction is one pass over the
-texts with no shuffle; each worker keeps a bounded cache of scored words.
+by the counts. Every word and n-gram of every language is kept, in written tables (word or gram, and for
+each language that holds it its score's distance from ``PENALTY``) that grow with the input. Only the
+``HEAD_WORDS`` most frequent words travel to the tasks: they are summed up in one pass over the texts, by
+a bounded cache. The other words of a document are looked up by a join of the distinct ones with the
+table, and those unknown there by joins of their n-grams, a length at a time; keys that hold a large part
+of the rows are joined by broadcast (at most ``HOT`` keys). :func:`fit_language_model` brings the whole
+model to the driver, to look at a small one.
 
 Defined cases. Null text, or text without a letter: ``und``, score 0. No training documents: ``und`` for
 all. Ties: the language that sorts first. Null id: predicted, not held out, and used for training like
@@ -25,11 +28,12 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.materialize import materialize_table
@@ -37,8 +41,8 @@ from tillwise.llm.quality_classifier import held_out
 from tillwise.llm.shipping import shipped
 
 LONGEST, PENALTY, EVIDENCE = 5, 7.0, 8
-TOP_WORDS, TOP_GRAMS, MAX_LANGUAGES = 10_000, 5_000, 200
-TABLE_ROWS, CACHE_ROWS = 400_000, 400_000
+HEAD_WORDS, HOT = 50_000, 2_000
+TABLE_ROWS, CACHE_CELLS = 400_000, 1_500_000
 
 
 def normal(token: str) -> str | None:
@@ -119,7 +123,6 @@ class Model:
         rows = table.tolist()
         self.words = {k: rows[r] for (kind, k), r in keys.items() if not kind}
         self.grams = {k: rows[r] for (kind, k), r in keys.items() if kind}
-        self.key = hashlib.sha256(repr((languages, sorted(self.words.items()), sorted(self.grams.items()))).encode()).hexdigest()
 
     def word_scores(self, token: str) -> list[float] | None:
         """None: a token without a letter."""
@@ -138,105 +141,221 @@ class Model:
         return [PENALTY] * len(self.languages)
 
 
+@dataclass
+class Tables:
+    """The written model. ``words``, ``grams``: key, vec (one (l, d) for each language that holds the key: its place and score -
+    PENALTY; and (-1, 1.0), which counts)."""
+    languages: list[str]
+    totals: dict
+    counts: tuple[DataFrame, DataFrame]  # (lang, word, n), of words and of n-grams
+    words: DataFrame
+    grams: DataFrame
+
+
+class Head:
+    """The most frequent words, for the tasks."""
+
+    def __init__(self, languages: int, rows: list[tuple[str, list[tuple[int, float]]]]):
+        self.width = languages + 1  # the last column counts words
+        self.vecs = {word: [(tuple(v)) for v in vec] for word, vec in rows}
+        self.key = hashlib.sha256(repr((languages, sorted(self.vecs.items()))).encode()).hexdigest()
+
+
 class _Cache(dict):
-    """Token -> row of ``rows`` (scores and a weight: 0 for a token without a letter). ``old``: the cache before this one,
-    whose rows are taken over when they are used again."""
+    """Token -> place in ``rows`` (sums of a head word; zeros for others) and in ``tail`` (the word, if it is not in the head and
+    has a letter). ``old``: the cache before this one, whose rows are taken over when they are used again."""
 
-    def __init__(self, model: Model, old: _Cache | None = None):
+    def __init__(self, head: Head, old: _Cache | None = None):
         super().__init__()
-        self.model, self.old = model, old
-        self.rows, self.used, self.new = np.zeros((1 << 14, len(model.languages) + 1)), 0, []
+        self.head, self.old = head, old
+        self.rows, self.used, self.new = np.zeros((1 << 14, head.width)), 0, []
+        self.tail: list[str | None] = []
+        self.is_tail = np.zeros(1 << 14, bool)
 
     def __missing__(self, token: str) -> int:
         at = len(self)
         if self.old is not None and (i := self.old.get(token)) is not None:
             self.new.append(self.old.rows[i])
+            self.tail.append(self.old.tail[i])
         else:
-            scores = self.model.word_scores(token)
-            self.new.append([*scores, 1.0] if scores is not None else [0.0] * self.rows.shape[1])
+            word = normal(token)
+            vec = self.head.vecs.get(word) if word is not None else None
+            row = [0.0] * self.head.width
+            for place, d in vec or ():
+                row[place] = d  # -1 is the last column
+            self.new.append(row)
+            self.tail.append(word if vec is None else None)
         self[token] = at
         return at
 
-    def flushed(self) -> np.ndarray:
-        """All rows, the new ones included."""
+    def flushed(self) -> tuple[np.ndarray, np.ndarray]:
+        """All rows and whether they are tail words, the new ones included."""
         if self.new:
             end = self.used + len(self.new)
             while end > len(self.rows):
                 self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+                self.is_tail = np.concatenate((self.is_tail, np.zeros_like(self.is_tail)))
             self.rows[self.used:end] = self.new
+            self.is_tail[self.used:end] = [w is not None for w in self.tail[self.used:end]]
             self.used, self.new = end, []
-        return self.rows
+        return self.rows, self.is_tail
 
 
-#: The cache of this worker process, for the model it has seen last: it serves all its tasks.
+#: The cache of this worker process, for the head it has seen last: it serves all its tasks.
 _CACHE: dict[str, _Cache] = {}
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    cache = _CACHE.get(model.key) or _Cache(model)
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int32))).astype(np.int32)), values)
+
+
+def _head_sums(batches: Iterator[pa.RecordBatch], head: Head) -> Iterator[pa.RecordBatch]:
+    """Of each row: the sums over its head words, and its other words with their counts."""
+    cache = _CACHE.get(head.key) or _Cache(head)
+    limit = max(CACHE_CELLS // head.width, 1 << 14)
     for b in batches:
-        names, scores = [], []
         texts = b.column("text")
+        sums, words, counts, sizes = [], [], [], []
         for lo in range(0, len(texts), 64):
-            if len(cache) > CACHE_ROWS:
+            if len(cache) > limit:
                 cache.old = None
-                cache = _Cache(model, cache)
+                cache = _Cache(head, cache)
             get = cache.__getitem__
             tokens = [(t.as_py() or "").split() for t in texts.slice(lo, 64)]
             ids = [np.fromiter(map(get, t), np.int64, len(t)) for t in tokens]
-            rows = cache.flushed()
+            rows, is_tail = cache.flushed()
             for i in ids:
-                total = rows[i].sum(axis=0)
-                if not total[-1] or not model.languages:
-                    names.append("und")
-                    scores.append(0.0)
-                else:
-                    mean = total[:-1] / total[-1]
-                    best = int(np.argmin(mean))
-                    names.append(model.languages[best])
-                    scores.append(float(1 / np.exp(-np.log(10) * min(total[-1], EVIDENCE) * (mean - mean[best])).sum()))
-        yield pa.RecordBatch.from_arrays([b.column("did"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["did", "lang_pred", "score"])
+                sums.append(rows[i].sum(axis=0))
+                at, n = np.unique(i[is_tail[i]], return_counts=True)
+                words += [cache.tail[k] for k in at.tolist()]
+                counts += n.tolist()
+                sizes.append(len(at))
+        flat = np.concatenate(sums) if sums else np.zeros(0)
+        tail = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "c"])
+        yield pa.RecordBatch.from_arrays([b.column("did"), _lists([head.width] * len(sums), pa.array(flat, pa.float64())), _lists(sizes, tail)],
+                                         ["did", "sums", "tail"])
     _CACHE.clear()
-    _CACHE[model.key] = cache
+    _CACHE[head.key] = cache
+
+
+def _decide(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        names, scores = [], []
+        for sums, more in zip(b.column("sums"), b.column("more").to_pylist(), strict=True):
+            total = np.array(sums.values.to_numpy(zero_copy_only=False), float)
+            for v in more or ():
+                total[v["l"]] += v["d"]
+            n = round(total[-1])
+            if not n or not languages:
+                names.append("und")
+                scores.append(0.0)
+                continue
+            mean = PENALTY + total[:-1] / n
+            best = int(np.argmin(mean))
+            names.append(languages[best])
+            scores.append(float(1 / np.exp(-np.log(10) * min(n, EVIDENCE) * (mean - mean[best])).sum()))
+        yield pa.RecordBatch.from_arrays([b.column("did"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["did", "lang_pred", "score"])
+
+
+def _vectors(counts: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """key, vec and n (over all languages). A key has a row for each language at most."""
+    score = -F.log10(F.col("n") / F.col("total")) - F.lit(PENALTY)
+    return counts.join(F.broadcast(totals), by).groupBy(F.col("word").alias("key")).agg(
+        F.collect_list(F.struct("l", score.alias("d"))).alias("vec"), F.sum("n").alias("n")) \
+        .select("key", F.array_append("vec", F.struct(F.lit(-1).alias("l"), F.lit(1.0).alias("d"))).alias("vec"), "n")
 
 
-def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_words: int = TOP_WORDS,
-                       top_grams: int = TOP_GRAMS, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Counts over all rows with a text and a language."""
+def language_tables(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Tables:
+    """Counts over all rows with a text and a language, as written tables."""
+    spark = docs.sparkSession
     rows = shipped(docs).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     schema = "lang string, word string, n long"
-    words = rows.mapInArrow(_count_words, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # the distinct words are read for the totals, the top words and the n-grams: written once
-    words = materialize_table(words, "words")
-    per = words.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(max_languages)
-    totals = {(r["lang"], 0): r["total"] for r in per.collect()}
+    words = materialize_table(rows.mapInArrow(_count_words, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    totals = {(r["lang"], 0): r["total"] for r in words.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     languages = sorted(lang for lang, _ in totals)
-    if not languages:
-        return Model([], [], [], {})
-    words = words.where(F.col("lang").isin(languages))
     counted = words.mapInArrow(_count_grams, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("size", F.length("word"))
     counted = materialize_table(counted, "grams")
     totals |= {(r["lang"], r["size"]): r["total"] for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
-    # the most frequent ones: the largest counts that at most n words have. The counts of counts are few, so no task
-    # has to rank the words of a language
-    def top(df: DataFrame, by: list[str], n: int) -> list[tuple[str, str, int]]:
-        w = Window.partitionBy(*by).orderBy(F.desc("n"))
-        least = df.groupBy(*by, "n").agg(F.count("*").alias("words")).withColumn("upto", F.sum("words").over(w)) \
-            .where(F.col("upto") <= n).groupBy(*by).agg(F.min("n").alias("least"))
-        kept = df.join(F.broadcast(least), by).where(F.col("n") >= F.col("least"))  # a row for each language and length
-        return sorted(tuple(r) for r in kept.select("lang", "word", "n").collect())
-    return Model(languages, top(words, ["lang"], top_words), top(counted, ["lang", "size"], top_grams), totals)
-
-
-def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    at = {lang: i for i, lang in enumerate(languages)}
+    sums = spark.createDataFrame([(at[lang], lang, size, n) for (lang, size), n in totals.items()], "l int, lang string, size int, total long")
+    return Tables(languages, totals, (words, counted),
+                  materialize_table(_vectors(words, sums.where("size = 0").drop("size"), ["lang"]), "word_table"),
+                  materialize_table(_vectors(counted, sums, ["lang", "size"]), "gram_table"))
+
+
+def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """The whole model in the driver."""
+    t = language_tables(docs, text_col, lang_col)
+    words, counted = ([tuple(r) for r in c.select("lang", "word", "n").collect()] for c in t.counts)
+    return Model(t.languages, sorted(words), sorted(counted), t.totals)
+
+
+def _head(tables: Tables, head_words: int) -> Head:
+    """The words with the largest counts that at most ``head_words`` words have. The counts of counts are few, so no task ranks words."""
+    by = tables.words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(head_words).collect()
+    upto, least = 0, None
+    for r in by:
+        upto += r["words"]
+        if upto > head_words:
+            break
+        least = r["n"]
+    rows = [] if least is None else tables.words.where(F.col("n") >= least).select("key", "vec").collect()
+    return Head(len(tables.languages), [(r["key"], [(v["l"], v["d"]) for v in r["vec"]]) for r in rows])
+
+
+def _lookup(rows: DataFrame, table: DataFrame, hot: int = HOT) -> DataFrame:
+    """The rows with the vec of their key, inner. Keys with more than 1 / ``hot`` of the rows are joined by broadcast."""
+    n = rows.count()
+    often = rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") * hot > n).select("key")
+    often = materialize_table(often, "hot_keys")
+    table = table.select("key", "vec")
+    return rows.join(F.broadcast(table.join(F.broadcast(often), "key", "left_semi")), "key") \
+        .unionByName(rows.join(F.broadcast(often), "key", "left_anti").join(table, "key"))
+
+
+def _piece(text: Column, n: int, at: Column) -> Column:
+    return F.substring(text, at, F.lit(n))
+
+
+def _word_vectors(words: DataFrame, tables: Tables) -> DataFrame:
+    """key, vec of distinct words (key): from the word table, else the mean over the known grams of the longest length that has one."""
+    known = words.join(tables.words.select("key", "vec"), "key", "left")
+    known = materialize_table(known, "tail_words")
+    out, left = known.where("vec IS NOT NULL"), known.where("vec IS NULL").select(F.col("key").alias("word"))
+    for n in range(LONGEST, 0, -1):
+        if left.isEmpty():
+            break
+        padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+        places = F.when(F.char_length(padded) >= n, F.sequence(F.lit(1), F.char_length(padded) - n + 1)).otherwise(F.array().cast("array<int>"))
+        rows = left.select("word", F.explode(F.transform(places, partial(_piece, padded, n))).alias("key"))
+        rows = materialize_table(rows, f"tail_grams{n}")
+        sums = _lookup(rows, tables.grams).select("word", F.inline("vec")).groupBy("word", "l").agg(F.sum("d").alias("d"))
+        vec = sums.groupBy("word").agg(F.collect_list(F.struct("l", "d")).alias("vec"))
+        mean = F.expr("transform(vec, v -> named_struct('l', v.l, 'd', v.d / filter(vec, u -> u.l = -1)[0].d))")
+        found = materialize_table(vec.select(F.col("word").alias("key"), mean.alias("vec")), f"tail_known{n}")
+        out = out.unionByName(found)
+        left = materialize_table(left.join(found, left["word"] == found["key"], "left_anti"), f"tail_left{n}")
+    # a word of which nothing is known counts with PENALTY for all
+    none = F.array(F.struct(F.lit(-1).alias("l"), F.lit(1.0).alias("d")))
+    return materialize_table(out.unionByName(left.select(F.col("word").alias("key"), none.alias("vec"))), "tail_vectors")
+
+
+def predict_languages(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
     """One row per document: its id, ``lang_pred`` and ``score``."""
-    out = shipped(docs).select(F.col(id_col).cast("long").alias("did"), F.col(text_col).alias("text")) \
-        .mapInArrow(partial(_predict, model=model), "did long, lang_pred string, score double")
+    base = shipped(docs).select(F.col(id_col).cast("long").alias("did"), F.col(text_col).alias("text")) \
+        .mapInArrow(partial(_head_sums, head=_head(tables, head_words)), "did long, sums array<double>, tail array<struct<word:string,c:long>>")
+    base = materialize_table(base.withColumn("row", F.monotonically_increasing_id()), "head_sums")
+    tail = base.select("row", F.inline("tail")).select("row", F.col("word").alias("key"), "c")
+    vectors = _word_vectors(tail.select("key").distinct(), tables)
+    sums = _lookup(tail, vectors).select("row", "c", F.inline("vec")).groupBy("row", "l").agg(F.sum(F.col("c") * F.col("d")).alias("d"))
+    more = sums.groupBy("row").agg(F.collect_list(F.struct("l", "d")).alias("more"))
+    out = base.select("row", "did", "sums").join(more, "row", "left").drop("row") \
+        .mapInArrow(partial(_decide, languages=tables.languages), "did long, lang_pred string, score double")
     return out.withColumnRenamed("did", id_col)
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
     """Learns from the rows outside the held-out fold and predicts all rows; with ``held_out``."""
-    model = fit_language_model(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
-    out = predict_languages(docs, model, id_col, text_col)
+    tables = language_tables(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
+    out = predict_languages(docs, tables, id_col, text_col, **how)
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")
