@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import mixing, url_filter
+from tillwise.llm import chat_format, conversation_repair, merkle, mixing, url_filter
 from tillwise.llm.decontaminate import contamination
 from tillwise.llm.language_id import identify_languages
 from tillwise.llm.line_dedup import line_report
@@ -61,11 +61,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_report(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_substring_dedup, op2_minhash_near_dedup, op3_language_id, op4_line_dedup, op5_mixing, op6_quality_classifier,
-           op7_decontamination, op8_token_output, op9_url_filter, op10_quality_rules)
+           op7_decontamination, op8_token_output, op9_url_filter, op10_quality_rules, op11_conversation_repair, op12_merkle_manifest,
+           op13_chat_format)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle_sql(), "op9_url_filter": url_filter.ORACLE_SQL}
+    return {"op5_mixing": mixing.oracle_sql(), "op9_url_filter": url_filter.ORACLE_SQL, "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+            "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_chat_format": chat_format.ORACLE_SQL}
