@@ -75,6 +75,13 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         F.array_sort(F.array_distinct(F.percentile_approx(_V, cuts, 4 * SPLITS))).alias("_q_splits")), "splits")
     ranged = _null_safe_join(counted, splits, keys).withColumn(_B, _count_below(F.col("_q_splits"), F.col(_V))).drop("_q_splits")
 
+    result = _pick(ranged, keys, by, probs, out, count_col)
+    return _materialize(result) if materialize else result
+
+
+def _pick(ranged: DataFrame, keys: list[str], by: list[str], probs: list[float], out: str, count_col: str, folded: bool = True) -> DataFrame:
+    """The quantiles of weighted values in buckets (``keys``, value, count, bucket). ``folded``: equal values are one row
+    already; else only those of the buckets that hold a wanted rank are folded."""
     upto = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = ranged.groupBy(*keys, _B).agg(F.sum(_C).alias("_q_t"))
     buckets = totals.select(*keys, _B, "_q_t", (F.sum("_q_t").over(upto) - F.col("_q_t")).alias("_q_off"),
@@ -90,7 +97,12 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     off = F.col("_q_off")
     wanted = buckets.where(_any([spans(r, off, off + F.col("_q_t")) for r in ranks])).drop("_q_t")
     running = Window.partitionBy(*keys, _B).orderBy(_V).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = _null_safe_join(ranged, wanted, keys, [_B]).withColumn("_q_after", off + F.sum(_C).over(running)) \
+    if not by:
+        wanted = F.broadcast(wanted)  # a bucket or two for each probability
+    inside = _null_safe_join(ranged, wanted, keys, [_B])
+    if not folded:
+        inside = inside.groupBy(*keys, _B, _V, "_q_off", _N).agg(F.sum(_C).alias(_C))
+    inside = inside.withColumn("_q_after", off + F.sum(_C).over(running)) \
         .withColumn("_q_before", F.col("_q_after") - F.col(_C))
 
     def covers(rank: Column) -> Column:
@@ -109,8 +121,7 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         g = pos(p) - F.floor(pos(p)).cast("double")
         qs.append(F.when(g >= 0.5, hi - (hi - lo) * (F.lit(1.0) - g)).otherwise(lo + (hi - lo) * g))
     n = F.col(_N) if by else F.coalesce(F.col(_N), F.lit(0))
-    result = picked.select(*[F.col(k) for k in by], n.alias(count_col), F.array(*qs).alias(out))
-    return _materialize(result) if materialize else result
+    return picked.select(*[F.col(k) for k in by], n.alias(count_col), F.array(*qs).alias(out))
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], plain: Sequence[str] = ()) -> DataFrame:

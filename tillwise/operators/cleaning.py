@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.functions.cascade import cascade_fences, within
 from tillwise.functions.materialize import materialize as _materialize
 from tillwise.functions.materialize import materialize_table
 from tillwise.functions.numeric import coerce_double
@@ -98,11 +99,9 @@ def iqr_cascade(df: DataFrame, cols: Sequence[str] = LINE_OUTLIER_COLUMNS, k: fl
     """C8 over each column in turn; each step's quartiles come from the
     rows the previous steps kept. Columns not present are skipped.
 
-    Every step's filter is a per-row predicate on the cascade columns, so the
-    steps' quartiles are computed from a column-pruned projection filtered by
-    the fences found so far, and the full rows are filtered ONCE by all fences.
-    The plan grows linearly with the steps (not 2^steps), and the upstream
-    (e.g. the dedupe shuffle) is one exchange reused by every step.
+    The quartiles of all steps come from one bucketed table of the distinct column tuples (``functions.cascade``), one
+    query a step, and the full rows are filtered once by all fences, which are numbers by then and reach the
+    scan. Runs those jobs when called.
 
     ``materialize=True`` first writes the input to the shared checkpoint folder
     (cuts the lineage when the upstream is expensive or unreliable to recompute).
@@ -112,27 +111,7 @@ def iqr_cascade(df: DataFrame, cols: Sequence[str] = LINE_OUTLIER_COLUMNS, k: fl
         return df
     if materialize:
         df = _materialize(df)
-    # the multiset of cascade-column tuples is all the quartiles need: fold equal
-    # tuples (map-side first) and keep the weighted, narrow table as a leaf
-    narrow = _materialize(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w")))
-    fences = None
-    for i, c in enumerate(cols):
-        kept = narrow if fences is None else _within(attach_scalars(narrow, fences), cols[:i])
-        b = iqr_bounds(kept, c, k, weight="_w").select(F.col("lower_bound").alias(f"_lo_{c}"),
-                                                       F.col("upper_bound").alias(f"_hi_{c}"))
-        fences = b if fences is None else fences.crossJoin(b)
-    if fences is None:
-        return df
-    return _within(attach_scalars(df, fences), cols).drop(
-        *[f"_{e}_{c}" for c in cols for e in ("lo", "hi")])
-
-
-def _within(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    cond = None
-    for c in cols:
-        ok = (F.col(c) >= F.col(f"_lo_{c}")) & (F.col(c) <= F.col(f"_hi_{c}"))
-        cond = ok if cond is None else cond & ok
-    return df.where(cond)
+    return df.where(within(cascade_fences(df, cols, k)))
 
 
 def clean(raw: DataFrame, order: str = "dedupe_first", outlier_cols: Sequence[str] = LINE_OUTLIER_COLUMNS,
