@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from tillwise.functions.materialize import materialize_table
 from tillwise.functions.numeric import nan_to_null
+from tillwise.functions.prefix import running_totals
 from tillwise.functions.quantiles import exact_quantiles
+from tillwise.sources.positions import POSITION
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -133,6 +135,35 @@ def preview(df: DataFrame, n: int = 5, order: Sequence[str] | None = None) -> Da
     return df.orderBy(*(order or df.columns)).limit(n)
 
 
+def head(df: DataFrame, n: int = 5, position: str = POSITION) -> DataFrame:
+    """The first n rows of the files, by the position that the reader attached. The least n of each task meet, not the rows."""
+    return df.orderBy(position).limit(n).drop(position)
+
+
+def first_seen_values(df: DataFrame, cols: Sequence[str] | None = None, k: int | None = 50, position: str = POSITION) -> DataFrame:
+    """Per text column, its first ``k`` distinct values in the order in which the files show them (missing is a value), as
+    (column, rank, value); ``k=None`` gives all. One read of the source: a value folds to its least position before the shuffle."""
+    cols = list(cols if cols is not None else columns_of_type(df, "string"))
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.col(position).alias("_at")) for c in cols]
+    firsts = df.select(F.inline(F.array(*cells))).groupBy("column", "value").agg(F.min("_at").alias("_at"))
+    if k is not None:
+        seen = Window.partitionBy("column").orderBy("_at")
+        return firsts.withColumn("rank", F.row_number().over(seen)).where(F.col("rank") <= k).select("column", "rank", "value")
+    # every value: ranks by running totals over files, then over places in a file
+    return _ranked_by_position(firsts)
+
+
+def _ranked_by_position(firsts: DataFrame) -> DataFrame:
+    """Ranks of any number of values: each file's values are counted by block and by place (``running_totals``), no task sorts them all."""
+    at = firsts.select("column", "value", F.col("_at.file").alias("file"), F.col("_at.block").alias("block"), F.col("_at.row").alias("row"), F.lit(1).alias("n"))
+    splits = at.groupBy("column", "file", "block").agg(F.count(F.lit(1)).alias("in_split"))
+    before = Window.partitionBy("column").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("in_split").over(before), F.lit(0))).drop("in_split")
+    places = running_totals(at, "row", ["n"], by=["column", "file", "block"])
+    return at.drop("n").join(places, ["column", "file", "block", "row"]).join(splits, ["column", "file", "block"]).select(
+        "column", (F.col("before") + F.col("n_before") + 1).alias("rank"), "value")
+
+
 def nunique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """P5: distinct non-missing values per column; ``approx`` uses HyperLogLog++."""
     cols = list(cols or df.columns)
@@ -184,6 +215,17 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str] | None = None, whis: float
     """Per numeric column the box-plot statistics: q1, median, q3, whisker
     ends (furthest values within whis*IQR of the box) and the number of fliers."""
     cols = list(cols if cols is not None else columns_of_type(df, "numeric"))
+    j = _with_fences(df, cols, whis)
+    v = F.col("value")
+    return j.groupBy("column").agg(
+        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
+        F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_low"),
+        F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_high"),
+        F.coalesce(F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), F.col("_c"))), F.lit(0)).alias("n_fliers"))
+
+
+def _with_fences(df: DataFrame, cols: Sequence[str], whis: float) -> DataFrame:
+    """column, value, _c (its rows), q1, median, q3, _lo and _hi: one row per distinct value."""
     long = materialize_table(_long(df, cols).where(F.col("value").isNotNull())
                              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c")), "values")
     qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], out="_q", count_col="_n", weight="_c")
@@ -193,13 +235,21 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str] | None = None, whis: float
         "_lo": F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1")),
         "_hi": F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))})
     # one row per profiled column: bounded by the number of columns
-    j = long.join(F.broadcast(fences), "column")
+    return long.join(F.broadcast(fences), "column")
+
+
+def boxplot_fliers(df: DataFrame, cols: Sequence[str] | None = None, whis: float = 1.5) -> DataFrame:
+    """The outlier points of the box plots, folded by value: column, side ('low' or 'high'), value, count (its rows),
+    rank (1 for the value farthest out on its side) and points_before (rows farther out). A chart or a caller takes ranks a to b,
+    or points a to b, of a side; no task sorts a side's points."""
+    cols = list(cols if cols is not None else columns_of_type(df, "numeric"))
     v = F.col("value")
-    return j.groupBy("column").agg(
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_low"),
-        F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_high"),
-        F.coalesce(F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), F.col("_c"))), F.lit(0)).alias("n_fliers"))
+    side = F.when(v < F.col("_lo"), "low").when(v > F.col("_hi"), "high")
+    out = _with_fences(df, cols, whis).select("column", side.alias("side"), F.when(side == "low", v).otherwise(-v).alias("_outward"),
+                                              F.col("_c").alias("count"), F.lit(1).alias("one")).where(F.col("side").isNotNull())
+    ranked = running_totals(out, "_outward", ["count", "one"], by=["column", "side"])
+    return ranked.select("column", "side", F.when(F.col("side") == "low", F.col("_outward")).otherwise(-F.col("_outward")).alias("value"), "count",
+                         (F.col("one_before") + 1).alias("rank"), F.col("count_before").alias("points_before"))
 
 
 def key_uniqueness(df: DataFrame, key: str) -> DataFrame:

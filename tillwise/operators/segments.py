@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.functions.heavy import join_with_heavy
 from tillwise.operators.profiling import grouped_describe
 from tillwise.operators.rfm import ranked_segments
 from tillwise.schema import COUNTRY, CUSTOMER, DESCRIPTION, FREQUENCY, MONETARY, RECENCY, SEGMENT
@@ -42,8 +43,9 @@ def segment_profile(customers: DataFrame, seg: str | None = None, largest: bool
 
 
 def tx_with_segment(tx: DataFrame, customers: DataFrame) -> DataFrame:
-    """SG4: lines joined (inner, on CustomerID) with their customer's Segment."""
-    return tx.join(customers.select(CUSTOMER, SEGMENT), CUSTOMER, "inner")
+    """SG4: lines joined (inner, on CustomerID) with their customer's Segment. Lines of customers that hold more than a thousandth
+    of them are joined where they are, the others by a shuffle (``functions.heavy``). Runs a pass that finds those customers."""
+    return join_with_heavy(tx, customers.select(CUSTOMER, SEGMENT), CUSTOMER)
 
 
 def _segment_line_counts(tx: DataFrame, customers: DataFrame, key: str, seg: str | None,

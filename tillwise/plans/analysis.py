@@ -32,7 +32,7 @@ def run_analysis(raw: DataFrame, order: str = "dedupe_first", churn_days: int =
 
     ``segment`` picks the drill-down segment (default: the largest).
     With ``fit_models`` the churn forest and the CLV regression are trained on
-    an 80/20 hash split and their metrics added.
+    an exact 80/20 split and their metrics added.
     """
     out: dict[str, DataFrame] = {}
     out["raw_shape"] = P.shape(raw)
@@ -62,7 +62,7 @@ def run_analysis(raw: DataFrame, order: str = "dedupe_first", churn_days: int =
     out["dual_top_summary"] = PR.dual_top_summary(perf, top_n)
 
     if fit_models:
-        parts = M.hash_split(table, CUSTOMER, 0.2, seed)
+        parts = M.exact_split(table, CUSTOMER, 0.2, seed)
         train, test = parts.where(~F.col(M.IS_TEST)), parts.where(F.col(M.IS_TEST))
         churn_pred = M.predict(M.train_churn(train, seed=seed), test, label=CHURN)
         out["churn_metrics"] = M.binary_metrics(churn_pred)

@@ -19,21 +19,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.sources.positions import with_position
 from tillwise.schema import (
     COUNTRY, CUSTOMER, DESCRIPTION, INVOICE, INVOICE_DATE, QUANTITY, STOCK, TOTAL_PRICE,
     TX_COLUMNS, UNIT_PRICE,
 )
 
+from tillwise.session import derived_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _joined(spark: SparkSession, sf_dir: str, position: str | None = None) -> DataFrame:
     # orders meet customers first, at order grain: lines are then joined on the order
     # key only, so they are never shuffled on a hot customer before an aggregate has
     # folded them, and adaptive execution is free to split a skewed order join
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem")
+    li = with_position(li, position) if position else li
+    li = li.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", *([position] if position else []))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -43,9 +48,9 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(order_country, li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey)
 
 
-def retail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed transaction lines (the base fixture)."""
-    j = _joined(spark, sf_dir)
+def retail_lines(spark: SparkSession, sf_dir: str, position: str | None = None) -> DataFrame:
+    """Typed transaction lines (the base fixture). ``position`` names a column for the place of the line in its file."""
+    j = _joined(spark, sf_dir, position)
     return j.select(
         F.col("o_orderkey").cast("string").alias(INVOICE),
         F.col("l_partkey").cast("string").alias(STOCK),
@@ -56,6 +61,7 @@ def retail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").cast("bigint").alias(CUSTOMER),
         F.col("n_name").alias(COUNTRY),
         F.col("l_extendedprice").cast("double").alias(TOTAL_PRICE),
+        *([position] if position else []),
     )
 
 
@@ -112,6 +118,19 @@ def clock_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.withColumn(INVOICE_DATE, shifted.cast("timestamp_ntz"))
 
 
+def broken_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Base lines as header CSV, written by Spark, of which some are broken: those of orders with key % 97 = 0 lack the last two
+    fields, those with key % 89 = 0 have one too many. Returns the path."""
+    tx, k = retail_lines(spark, sf_dir), F.col(INVOICE).cast("bigint")
+    cells = [F.col(c).cast("string") if c != DESCRIPTION else F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in TX_COLUMNS]
+    line = F.when(k % 97 == 0, F.concat_ws(",", *cells[:-2])).when(k % 89 == 0, F.concat_ws(",", *cells, F.lit("more"))).otherwise(F.concat_ws(",", *cells))
+    path = derived_path(spark, "broken-lines-csv")
+    lines = tx.select(line.alias("value"))
+    # each file begins with the header: the writer's own, for a table of one column whose name is the header line
+    lines.select(F.col("value").alias(",".join(TX_COLUMNS))).write.options(header=True, sep="\x01", quote="", escapeQuotes=False).csv(path)
+    return path
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase events as transaction lines (real time of day, 30-day span)."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
