@@ -46,14 +46,16 @@ _V, _C, _N, _K, _B = "_q_v", "_q_c", "_q_n", "_q_key", "_q_bucket"
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
                     by: Sequence[str] = (), out: str = "q", count_col: str = "n",
-                    weight: str | None = None, materialize: bool = True) -> DataFrame:
+                    weight: str | None = None, materialize: bool = True, folded: bool = False) -> DataFrame:
     """Exact linear quantiles of ``value`` for each group of ``by``.
 
     Returns one row per group that has at least one non-missing value:
     ``by..., n (non-missing count), q (array<double>, same order as probs)``.
     Without ``by`` there is always one row; with no value at all it is n = 0 and
     NULL quantiles. NULL and NaN are ignored, as missing values are. ``weight``
-    names an integer column of row multiplicities (for pre-aggregated input).
+    names an integer column of row multiplicities (for pre-aggregated input); ``folded``
+    says that ``df`` is a written table with one row for each group and value, which is
+    then not folded and written again.
     Runs jobs when called (the counted values and the splits); the result (a few
     rows) is checkpointed by default so consumers read a leaf, not this plan.
     """
@@ -69,7 +71,7 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         src = src.withColumn(_K, F.lit(0))
     src = src.where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)) & (F.col("_q_w") > 0))
 
-    counted = materialize_table(src.groupBy(*keys, _V).agg(F.sum("_q_w").alias(_C)), "counted")
+    counted = src.withColumnRenamed("_q_w", _C) if folded else materialize_table(src.groupBy(*keys, _V).agg(F.sum("_q_w").alias(_C)), "counted")
     cuts = [i / SPLITS for i in range(1, SPLITS)]
     splits = materialize_table(counted.groupBy(*keys).agg(
         F.array_sort(F.array_distinct(F.percentile_approx(_V, cuts, 4 * SPLITS))).alias("_q_splits")), "splits")

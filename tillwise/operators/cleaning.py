@@ -2,8 +2,9 @@
 
 All steps are lazy projections and filters except ``dedupe`` (one shuffle on the
 full row; map-side partial aggregation folds a heavily copied row before the
-shuffle) and the IQR bounds (an exact-quantile job whose one-row result is
-attached by a broadcast cross join).
+shuffle), the IQR bounds (an exact-quantile job whose one-row result is
+attached by a broadcast cross join) and the cascade (a query a column). The whole
+pipelines find copies by fingerprints (``functions.fingerprints``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.cascade import cascade_fences, within
+from tillwise.functions.fingerprints import distinct_rows
 from tillwise.functions.materialize import materialize as _materialize
 from tillwise.functions.materialize import materialize_table
 from tillwise.functions.numeric import coerce_double
@@ -123,9 +125,9 @@ def clean(raw: DataFrame, order: str = "dedupe_first", outlier_cols: Sequence[st
     ``order='dedupe_first'`` (C12, default): drop missing -> coerce -> positive ->
     drop missing id -> id to int -> TotalPrice recomputed -> dedupe -> IQR cascade.
     The two keep different rows when copies exist, since the quartiles then see
-    different populations. ``materialize`` writes the lines entering the outlier
-    cascade once to the shared folder (default), instead of computing the
-    upstream (read, coercion, dedupe shuffle) twice.
+    different populations. ``materialize`` writes the coerced lines once to the
+    shared folder (default), instead of computing the upstream several times, and
+    lets the copies be found by fingerprints instead of shuffling every line.
     """
     cols = [c for c in TX_COLUMNS if c in raw.columns]
     df = drop_missing(raw.select(*cols))  # the columns the input has: a file may come without TotalPrice
@@ -137,12 +139,14 @@ def clean(raw: DataFrame, order: str = "dedupe_first", outlier_cols: Sequence[st
     if order not in ("dedupe_first", "outliers_first"):
         raise ValueError("order must be 'dedupe_first' or 'outliers_first'")
     if order == "dedupe_first":
-        df = dedupe(with_total_price(df))
+        df = with_total_price(df)
     elif TOTAL_PRICE not in df.columns:
         raise ValueError("order='outliers_first' takes TotalPrice as read, and the input has none")
+    # the copies are found by fingerprints of written lines; the cascade reads its input once for the value table and once
+    # for the final filter: write it once (Parquet: the value table reads 3 columns)
+    repeats = distinct_rows if materialize else dedupe
     if materialize:
-        # the cascade reads its input once for the value table and once for the
-        # final filter: write it once (Parquet: the value table reads 3 columns)
-        df = materialize_table(df, "clean-pre-outliers")
-    out = iqr_cascade(df, outlier_cols, k)
-    return dedupe(out) if order == "outliers_first" else out
+        df = materialize_table(df, "clean-lines")
+    if order == "dedupe_first":
+        return iqr_cascade(repeats(df), outlier_cols, k)
+    return repeats(iqr_cascade(df, outlier_cols, k))

@@ -77,7 +77,7 @@ def grouped_describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
                                          F.min(v).alias("min"), F.max(v).alias("max"))
     spread = _same(counted, moments.select(*keys, "mean", "count"), keys).where(v.isNotNull()) \
         .groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))), F.max("count") - 1)).alias("std"))
-    qs = exact_quantiles(counted, "value", [0.25, 0.5, 0.75], by=keys, out="_q", count_col="_qn", weight="_c")
+    qs = exact_quantiles(counted, "value", [0.25, 0.5, 0.75], by=keys, out="_q", count_col="_qn", weight="_c", materialize=False, folded=True)
     joined = _same(_same(moments, spread, keys, "left"), qs, keys, "left")
     return joined.select(*by, "column", "count", "mean", "std", "min",
                          F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
@@ -228,7 +228,7 @@ def _with_fences(df: DataFrame, cols: Sequence[str], whis: float) -> DataFrame:
     """column, value, _c (its rows), q1, median, q3, _lo and _hi: one row per distinct value."""
     long = materialize_table(_long(df, cols).where(F.col("value").isNotNull())
                              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c")), "values")
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], out="_q", count_col="_n", weight="_c")
+    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], out="_q", count_col="_n", weight="_c", folded=True)
     fences = qs.select("column", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                        F.col("_q")[2].alias("q3"))
     fences = fences.withColumns({

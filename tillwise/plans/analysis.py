@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.functions.fingerprints import repeated_rows
 from tillwise.functions.materialize import materialize, materialize_table
 from tillwise.operators import cleaning as C
 from tillwise.operators import customers as CU
@@ -42,7 +43,7 @@ def run_analysis(raw: DataFrame, order: str = "dedupe_first", churn_days: int =
         lines = materialize_table(lines, "clean-lines")
     out["clean_shape"] = P.shape(lines)
     out["clean_describe"] = P.describe(lines, [QUANTITY, UNIT_PRICE, TOTAL_PRICE])
-    out["clean_duplicates"] = P.duplicate_count(lines)
+    out["clean_duplicates"] = repeated_rows(lines)
 
     table = materialize(CU.customer_table(lines, churn_days=churn_days, q=q))
     out["customers"] = table

@@ -420,6 +420,9 @@ SELECT InvoiceNo, StockCode, CAST(InvoiceNo AS BIGINT) % 97 <> 0 AS too_long FRO
     q["p9_key_uniqueness"] = _with(*_segmented(TX), final="""
 SELECT count(*) AS rows, count(DISTINCT CustomerID) AS distinct_keys,
        count(*) = count(DISTINCT CustomerID) AS is_unique FROM seg""")
+    q["p10_duplicates_by_fingerprint"] = _with(("dirty", DIRTY), final="""
+SELECT CAST((SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS BIGINT) AS duplicates""")
+    q["c7_dedupe_by_fingerprint"] = _with(("dirty", DIRTY), final="SELECT DISTINCT * FROM dirty")
     q["p10_duplicate_count_dirty"] = _with(("dirty", DIRTY), final="""
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (
   SELECT count(*) AS n FROM dirty GROUP BY ALL_COLUMNS_PLACEHOLDER)""".replace(
@@ -596,6 +599,24 @@ SELECT round((sum(mid) FILTER (Churn = 1) - count_if(Churn = 1) * (count_if(Chur
             "SELECT 'churned', 'customers', CAST(coalesce(sum(Churn), 0) AS BIGINT) FROM seg",
             "SELECT 'dual_top_summary', arg_min(StockCode, (-TotalQuantitySold, StockCode)) || '/' || "
             "arg_min(StockCode, (-TotalRevenue, StockCode)), count(*) FROM dual"]))
+    q["a1_run_analysis_reports"] = _with(*ctes12, *_rfm_ctes(last12, 90), *_score_ctes("rfm"),
+        ("perf", f"SELECT StockCode, sum(Quantity) AS TotalQuantitySold, {_money_sum('TotalPrice')} AS TotalRevenue "
+                 f"FROM {last12} GROUP BY StockCode"), *_products()[2:], *_mode_country(last12),
+        ("mine", f"""
+SELECT t.* FROM {last12} t JOIN seg s ON t.CustomerID = s.CustomerID WHERE s.Segment = (
+  SELECT Segment FROM seg WHERE Segment IS NOT NULL GROUP BY Segment ORDER BY count(*) DESC, Segment LIMIT 1)"""),
+        final="\nUNION ALL\n".join([
+            "SELECT 'segment_profile' AS report, Segment || '/' || c AS item, count(*) AS value FROM seg, (VALUES ('Recency'), ('Frequency'), ('Monetary')) v(c) "
+            "WHERE Segment IS NOT NULL GROUP BY Segment, c",
+            "SELECT 'drilldown_customers', 'customers', max(n) FROM (SELECT count(*) AS n FROM seg WHERE Segment IS NOT NULL GROUP BY Segment)",
+            "SELECT * FROM (SELECT 'drilldown_top_products', Description, count(*) FROM mine GROUP BY Description ORDER BY count(*) DESC, Description LIMIT 10)",
+            "SELECT 'drilldown_countries', Country, count(*) FROM mine GROUP BY Country",
+            "SELECT 'product_performance', 'products', count(*) FROM perf",
+            "SELECT 'top_quantity', StockCode, CAST(TotalQuantitySold AS BIGINT) FROM topq",
+            "SELECT 'top_revenue', StockCode, CAST(floor(TotalRevenue) AS BIGINT) FROM topr",
+            "SELECT 'dual_top', StockCode, CAST(TotalQuantitySold AS BIGINT) FROM dual",
+            "SELECT 'customers', Country, count(*) FROM (SELECT s.CustomerID, cc.Country FROM seg s JOIN cc ON s.CustomerID = cc.CustomerID) GROUP BY Country",
+        ]))
 
     q["v1_segment_distribution"] = q["r11_segment_counts"]
     q["v2_top_quantity_chart"] = q["pr4_top_quantity"]

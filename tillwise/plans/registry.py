@@ -16,7 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.functions.materialize import materialize
+from tillwise.functions.fingerprints import distinct_rows, repeated_rows
+from tillwise.functions.materialize import materialize, materialize_table
 from tillwise.functions.numeric import round_stat
 from tillwise.operators import cleaning as C
 from tillwise.operators import customers as CU
@@ -28,7 +29,7 @@ from tillwise.operators import segments as SG
 from tillwise.plans.analysis import run_analysis
 from tillwise.schema import (
     CHURN, CLV, COUNTRY, CUSTOMER, DESCRIPTION, F_SCORE, FREQUENCY, INVOICE, M_SCORE, MODEL_FEATURES, MONETARY, QUANTITY,
-    R_SCORE, RECENCY, RFM_SCORE, SEGMENT, STOCK, TOTAL_PRICE, UNIT_PRICE,
+    R_SCORE, RECENCY, RFM_SCORE, SEGMENT, STOCK, TOTAL_PRICE, TOTAL_QUANTITY, TOTAL_REVENUE, UNIT_PRICE,
 )
 from tillwise.session import derived_path
 from tillwise.sources import files as S
@@ -174,6 +175,14 @@ def p10_duplicate_count_dirty(spark, d):
     return P.duplicate_count(_dirty(spark, d))
 
 
+def p10_duplicates_by_fingerprint(spark, d):
+    return repeated_rows(_dirty(spark, d))
+
+
+def c7_dedupe_by_fingerprint(spark, d):
+    return distinct_rows(materialize_table(_dirty(spark, d), "dirty"))
+
+
 def p12_describe_cleaned(spark, d):
     return _describe_rounded(P.describe(C.clean(_dirty(spark, d)), [QUANTITY, UNIT_PRICE, CUSTOMER, TOTAL_PRICE]))
 
@@ -571,6 +580,23 @@ def a1_run_analysis(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
+def a1_run_analysis_reports(spark, d):
+    """The profile, drill-down, product and customer reports of the same call, as (report, item, value)."""
+    r = run_analysis(_dirty(spark, d))
+
+    def rows(name, item, value):
+        return r[name].select(F.lit(name).alias("report"), item.cast("string").alias("item"), F.floor(value).cast("bigint").alias("value"))
+
+    counted = {n: r[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("report"), F.lit(i).alias("item"), "n")
+               for n, i in (("drilldown_customers", "customers"), ("product_performance", "products"))}
+    per_country = r["customers"].groupBy(COUNTRY).agg(F.count(F.lit(1)).alias("n")).select(F.lit("customers").alias("report"), COUNTRY, "n")
+    parts = [rows("segment_profile", F.concat_ws("/", SEGMENT, "column"), F.col("count")), counted["drilldown_customers"],
+             rows("drilldown_top_products", F.col(DESCRIPTION), F.col("count")), rows("drilldown_countries", F.col(COUNTRY), F.col("count")),
+             counted["product_performance"], rows("top_quantity", F.col(STOCK), F.col(TOTAL_QUANTITY)), rows("top_revenue", F.col(STOCK), F.col(TOTAL_REVENUE)),
+             rows("dual_top", F.col(STOCK), F.col(TOTAL_QUANTITY)), per_country]
+    return reduce(DataFrame.union, parts)
+
+
 def _describe_rounded(df: DataFrame) -> DataFrame:
     """Means and deviations to 6 decimals, for display and comparison."""
     return df.withColumns({"mean": round_stat(F.col("mean")), "std": round_stat(F.col("std"))})
@@ -605,6 +631,7 @@ def queries() -> dict[str, Query]:
         "p8_rfm_boxplot_fliers": p8_rfm_boxplot_fliers,
         "p9_key_uniqueness": p9_key_uniqueness,
         "p10_duplicate_count_dirty": p10_duplicate_count_dirty,
+        "p10_duplicates_by_fingerprint": p10_duplicates_by_fingerprint,
         "p12_describe_cleaned": p12_describe_cleaned,
         "c1_drop_missing_dirty": c1_drop_missing_dirty,
         "c2_drop_missing_customer_dirty": c2_drop_missing_customer_dirty,
@@ -613,6 +640,7 @@ def queries() -> dict[str, Query]:
         "c5_to_int_dirty": c5_to_int_dirty,
         "c6_total_price_dirty": c6_total_price_dirty,
         "c7_dedupe_dirty": c7_dedupe_dirty,
+        "c7_dedupe_by_fingerprint": c7_dedupe_by_fingerprint,
         "c8_iqr_quantity": c8_iqr_quantity,
         "c8_iqr_bounds_total_price": c8_iqr_bounds_total_price,
         "c9_iqr_cascade": c9_iqr_cascade,
@@ -692,6 +720,7 @@ def queries() -> dict[str, Query]:
         "p8_rfm_boxplot_stats": p8_rfm_boxplot_stats,
         "p10_rfm_duplicate_count": p10_rfm_duplicate_count,
         "a1_run_analysis": a1_run_analysis,
+        "a1_run_analysis_reports": a1_run_analysis_reports,
     }
     # chart datasets (V1-V4) are the tables behind each chart
     q["v1_segment_distribution"] = q["r11_segment_counts"]
