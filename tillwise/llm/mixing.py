@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.materialize import materialize_table
@@ -71,21 +71,24 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds:
     total = cells.agg(F.sum("w")).first()[0]
     if not total:
         return cells.withColumn("x", F.lit(0.0))
-    goals = {d: materialize_table(target_shares(cells, d, t), f"goal-{d}") for d, t in targets.items()}
     cells = cells.withColumn("x", F.col("w") / F.lit(float(total)))
+    for d, t in targets.items():
+        cells = cells.join(target_shares(cells, d, t).withColumnRenamed("goal", f"goal_{d}"), d)
+    cells = materialize_table(cells, "cells-goals")
+    goals = [f"goal_{d}" for d in targets]
     for _ in range(rounds):
         off = F.lit(0.0)
-        for d, goal in goals.items():
-            factor = cells.groupBy(d).agg(F.sum("x").alias("have")).join(goal, d) \
-                .select(d, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(F.lit(0.0)).alias("f"))
-            cells = cells.join(factor, d).withColumn("x", F.col("x") * F.col("f")).withColumn(f"off_{d}", F.abs(F.col("f") - 1)).drop("f")
+        for d in targets:
+            have = F.sum("x").over(Window.partitionBy(d))  # cells of one value: no join brings the factor back
+            cells = cells.withColumn("f", F.when(have > 0, F.col(f"goal_{d}") / have).otherwise(F.lit(0.0)))
+            cells = cells.withColumns({"x": F.col("x") * F.col("f"), f"off_{d}": F.abs(F.col("f") - 1)}).drop("f")
             off = F.greatest(off, F.col(f"off_{d}"))
-        cells = materialize_table(cells.withColumn("off", off), "raked")
+        cells = materialize_table(cells.withColumn("off", off).drop(*(f"off_{d}" for d in targets)), "raked")
         worst = cells.agg(F.max("off")).first()[0]
-        cells = cells.drop("off", *(f"off_{d}" for d in goals))
+        cells = cells.drop("off")
         if worst < tolerance:
             break
-    return cells
+    return cells.drop(*goals)
 
 
 def probabilities(cells: DataFrame, budget: float) -> DataFrame:
