@@ -37,11 +37,16 @@ def coerce_double(c: Column, dtype: str = "string") -> Column:
 def money_sum(c: Column, digits: int = MONEY_DIGITS) -> Column:
     """Order-independent exact sum of a money column, each value rounded half up to ``digits`` decimals; returned as
     double. Infinity, NaN and amounts of 10^(18 - digits) or more fail the query instead of being clamped."""
+    return money_total(c, digits).cast("double")
+
+
+def money_total(c: Column, digits: int = MONEY_DIGITS) -> Column:
+    """The decimal behind ``money_sum``, to be added up further."""
     kind = f"decimal(18,{digits})"
     exact = c.try_cast(kind)
     amount = F.when(c.isNull() | exact.isNotNull(), exact).otherwise(
         F.raise_error(F.concat(F.lit(f"not a money amount ({kind}): "), c.cast("string"))))
-    return F.sum(amount).cast("double")
+    return F.sum(amount)
 
 
 def round_stat(c: Column, digits: int = 6) -> Column:

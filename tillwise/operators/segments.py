@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.heavy import join_with_heavy
 from tillwise.operators.profiling import grouped_describe
 from tillwise.operators.rfm import ranked_segments
-from tillwise.schema import COUNTRY, CUSTOMER, DESCRIPTION, FREQUENCY, MONETARY, RECENCY, SEGMENT
+from tillwise.schema import COUNTRY, CUSTOMER, DESCRIPTION, FREQUENCY, LINES, MONETARY, RECENCY, SEGMENT
 
 
 def _chosen(customers: DataFrame, seg: str | None, largest: bool) -> DataFrame:
@@ -50,8 +50,8 @@ def tx_with_segment(tx: DataFrame, customers: DataFrame) -> DataFrame:
 
 def _segment_line_counts(tx: DataFrame, customers: DataFrame, key: str, seg: str | None,
                          largest: bool) -> DataFrame:
-    per_customer = (tx.where(F.col(key).isNotNull())
-                    .groupBy(CUSTOMER, key).agg(F.count(F.lit(1)).alias("_n")))
+    lines = F.sum(LINES) if LINES in tx.columns else F.count(F.lit(1))
+    per_customer = tx.where(F.col(key).isNotNull()).groupBy(CUSTOMER, key).agg(lines.alias("_n"))
     chosen = _chosen(customers, seg, largest).select(CUSTOMER, SEGMENT)
     return (per_customer.join(chosen, CUSTOMER, "inner")
             .groupBy(SEGMENT, key).agg(F.sum("_n").alias("count")))
@@ -59,7 +59,7 @@ def _segment_line_counts(tx: DataFrame, customers: DataFrame, key: str, seg: str
 
 def segment_top_products(tx: DataFrame, customers: DataFrame, n: int = 10, seg: str | None = None,
                          largest: bool = False) -> DataFrame:
-    """SG5: per segment, the n Descriptions bought on the most lines (ties by name)."""
+    """SG5: per segment, the n Descriptions bought on the most lines (ties by name), of lines or folded lines."""
     counts = _segment_line_counts(tx, customers, DESCRIPTION, seg, largest)
     w = Window.partitionBy(SEGMENT).orderBy(F.desc("count"), F.asc(DESCRIPTION))
     return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))

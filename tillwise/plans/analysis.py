@@ -51,11 +51,13 @@ def run_analysis(raw: DataFrame, order: str = "dedupe_first", churn_days: int =
     out["segment_profile"] = SG.segment_profile(table)
     largest = segment is None
     out["drilldown_customers"] = SG.in_segment(table, segment, largest)
-    out["drilldown_top_products"] = SG.segment_top_products(lines, table, top_n, segment, largest)
-    out["drilldown_countries"] = SG.segment_countries(lines, table, segment, largest)
+    # what the reports on products and countries need of the lines, in one pass
+    folded = materialize_table(PR.fold_lines(lines), "folded-lines")
+    out["drilldown_top_products"] = SG.segment_top_products(folded, table, top_n, segment, largest)
+    out["drilldown_countries"] = SG.segment_countries(folded, table, segment, largest)
     out["churned"] = CU.churn_count(table)
 
-    perf = materialize(PR.product_performance(lines))
+    perf = materialize(PR.product_performance(folded))
     out["product_performance"] = perf
     out["top_quantity"] = PR.top_products(perf, "TotalQuantitySold", top_n)
     out["top_revenue"] = PR.top_products(perf, "TotalRevenue", top_n)

@@ -74,5 +74,9 @@ RFM_SCHEMA = T.StructType([
 TOTAL_QUANTITY = "TotalQuantitySold"
 TOTAL_REVENUE = "TotalRevenue"
 
+# Columns of folded lines: their number and their money as a decimal.
+LINES = "_lines"
+MONEY = "_money"
+
 # Feature set of both models (churn and lifetime value).
 MODEL_FEATURES = [RECENCY, FREQUENCY, MONETARY, R_SCORE, F_SCORE, M_SCORE, RFM_SCORE]
