@@ -1,12 +1,13 @@
 """Substring dedup, MinHash near-dedup and line dedup against brute force."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import llm_fixtures as fixtures
-from llm_fixtures import docs, empty  # noqa: F401
+from llm_fixtures import docs, empty, prose  # noqa: F401
 from tillwise.llm.components import connected_components
 from tillwise.llm.line_dedup import bounded_distance, dedup_lines, line_classes, line_links, line_report
 from tillwise.llm.minhash import drop_near_duplicates, near_duplicates
@@ -25,6 +26,22 @@ def test_substrings(spark, docs, group_limit):
         assert len(fixtures.words(r.kept_text)) == r.n_words - r.n_removed
 
 
+def test_many_equal_rows(spark):
+    """Ten thousand copies of a row without an id, and of a text with ids of their own, cost a digest each."""
+    rng = random.Random(8)
+    long, other = prose(rng, 300, 9000), prose(rng, 200, 9000)
+    quote = " ".join(long.split()[100:150])
+    rows = [(None, long)] * 10_000 + [(i, other) for i in range(5_000)] + [(10_000, "short text")] * 50 + [(20_000, f"{prose(rng, 40, 9000)} {quote} {prose(rng, 40, 9000)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = dedup_substrings(docs)
+    empty = hashlib.sha256(b"").hexdigest()
+    got = {(r["doc_id"] if r["doc_id"] is None or r["doc_id"] >= 10_000 else 0, r["n_words"], r["n_removed"], r["kept_sha256"] == empty, r["count"])
+           for r in out.withColumn("doc_id", F.when(F.col("doc_id") < 10_000, 0).otherwise(F.col("doc_id"))).groupBy("doc_id", "n_words", "n_removed", "kept_sha256").count().collect()}
+    assert got == {(None, 300, 300, True, 10_000), (0, 200, 200, True, 5_000), (10_000, 2, 0, False, 50), (20_000, 130, 50, False, 1)}
+    whole = out.where("doc_id IS NULL").select("kept_text", "removed").distinct().collect()
+    assert [(r["kept_text"], [tuple(x) for x in r["removed"]]) for r in whole] == [("", [(0, 300)])]
+
+
 def test_substrings_empty(empty):
     assert dedup_substrings(empty).collect() == []
 

@@ -4,6 +4,9 @@ A passage of ``min_words`` words that starts at two places or more of the corpus
 it stands. Its suffix (the passage read from its first word) belongs to the subtree of its prefix;
 corpus-wide, the subtrees are built group by group, each group small enough for one task's memory:
 
+0. *Classes of equal texts.* Texts are counted by their digest. Every passage of a text that occurs twice stands at two
+   places, so its documents lose all their words (if they have ``min_words``), and one of them alone goes on, for the passages
+   that other texts share with it. Copies, of a text or of a whole row, cost a digest each from here on.
 1. *Sparse prefixes.* Of the ``min_words - ANCHOR + 1`` prefixes of ANCHOR words that lie inside a
    passage, the one with the least hash is its anchor: equal passages have equal anchors at equal
    places, and neighbouring passages share one, so the words sent are about three times the text of
@@ -19,9 +22,10 @@ corpus-wide, the subtrees are built group by group, each group small enough for
    the repeats; in each document, runs of them join to maximal repeated spans.
 5. *Cutting.* The marked words of each document are dropped; the words kept are joined by one space.
 
-Shuffles: the (document, anchor prefix) pairs, about 7 % of the words at 16 bytes each, twice; the
+Shuffles: the texts' digests; the (document, anchor prefix) pairs, about 7 % of the words at 16 bytes each, twice; the
 texts once by document (the join with candidates and the final cut reuse that exchange); the
-candidates' slices once. Nothing is collected and no table is broadcast by a hint.
+candidates' slices once. Nothing is collected; the digests of repeated texts are broadcast while they are counted to be
+at most ``MAX_BROADCAST``, else they are joined by a shuffle.
 
 Defined cases. Null text: no words, empty result text. Fewer than ``min_words`` words: nothing is
 removed. Null or repeated ids: rows are told apart by id and text; identical rows are two occurrences
@@ -41,12 +45,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.functions.materialize import materialize_table
 from tillwise.llm.shipping import shipped
 from tillwise.llm.words import Words, chunks, gram_hashes, mix, signed, sliding_min
 
 ANCHOR = 8
 #: Occurrences of a prefix up to which its suffixes are one in-memory group.
 GROUP_LIMIT = 2000
+#: Digests of repeated texts that are broadcast at most (about 100 MB).
+MAX_BROADCAST = 500_000
 _NO_ID = -(1 << 63)
 _LOW = np.uint64((1 << 32) - 1)
 
@@ -242,9 +249,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchor = min(ANCHOR, min_words)
     if min_words - anchor + 1 > 62:
         anchor = min_words - 61  # the windows of one anchor are bits of a long
-    base = shipped(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("did"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
-        .withColumn("rid", F.xxhash64("did", "text"))
+    every = shipped(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("did"),
+                                 F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("class", F.sha2("text", 256))
+    copied = materialize_table(every.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("first")).where("n > 1").drop("n"), "copied-texts")
+    every = every.join(F.broadcast(copied) if copied.count() <= MAX_BROADCAST else copied, "class", "left")
+    alone = every.where("first IS NULL").select("did", "text").withColumn("rid", F.xxhash64("did", "text"))
+    firsts = every.where("did = first").dropDuplicates(["did", "class"]).select("did", "text").withColumn("rid", F.xxhash64("did", "text"))
+    firsts = materialize_table(firsts, "copied-firsts")  # one text a class, read by every pass below
+    base = alone.unionByName(firsts)
     anchors = base.mapInArrow(partial(_anchor_rows, length=min_words, anchor=anchor), "rid long, key long")
     prefixes = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1") \
         .select("key", (F.col("n") > group_limit).alias("frequent"))
@@ -273,6 +285,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     schema = "did long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
         schema += ", kept_text string, removed array<struct<start:int,end:int>>"
-    cut = base.join(marks, "rid", "left").withColumn("marks", F.coalesce("marks", no_marks)) \
+    cut = alone.join(marks, "rid", "left").withColumn("marks", F.coalesce("marks", no_marks)) \
         .mapInArrow(partial(_cut, length=min_words, with_text=with_text), schema)
+    copies = every.where("first IS NOT NULL").select(F.lit(0).cast("long").alias("rid"), "did", "text", no_marks.alias("marks")) \
+        .mapInArrow(partial(_cut, length=min_words, with_text=with_text), schema)
+    gone = F.col("n_words") >= min_words
+    copies = copies.withColumns({"n_removed": F.when(gone, F.col("n_words")).otherwise(0),
+                                 "kept_sha256": F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256"))})
+    if with_text:
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+        copies = copies.withColumns({"kept_text": F.when(gone, "").otherwise(F.col("kept_text")), "removed": F.when(gone, whole).otherwise(F.col("removed"))})
+    cut = cut.unionByName(copies)
     return cut.select(F.when(F.col("did") != _NO_ID, F.col("did")).alias(id_col), *cut.columns[1:])
