@@ -200,6 +200,16 @@ def test_encoder_equals_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_on_odd_pieces():
+    """Marks, line breaks and other white space between words, contractions, control texts: the ids of whole texts."""
+    rng = random.Random(1)
+    bits = ["a", "é", "word", "ß", "日本", "1", "2x", "'s", "'", "don't", *",.!?:;", " ", "  ", "\n", "\t", "\u00a0", "<|", "|>", "<|endoftext|>", "_", "-", "“", "𝒳", "\r\n"]
+    encoder = Encoder(tokenizer_path())
+    for _ in range(1500):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(6))]
+        assert encoder.encode(texts) == encoder.whole(texts)
+
+
 def test_token_files(spark, docs, empty):
     manifest = write_tokens(docs)
     got = read_tokens(manifest).collect()
@@ -310,5 +320,5 @@ def test_pipeline(spark, tmp_path):
 
 def test_registered():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
