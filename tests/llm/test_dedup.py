@@ -79,6 +79,31 @@ def test_near_duplicates_large_bucket(spark):
     assert len({c for _, c in want.values()}) > 3
 
 
+@pytest.mark.parametrize("small", [16, 2])
+def test_near_duplicates_of_a_family(spark, small):
+    """Near copies that lost different parts of an original, of which some gained a passage together: links between members that
+    are not linked to the original are found, with the bounds for large buckets and without."""
+    rng = random.Random(3)
+    base, passages = [f"b{i}" for i in range(300)], [[f"e{k}_{i}" for i in range(30)] for k in range(12)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 3, 5, 6, 7, 8])):
+            w[rng.randrange(300)] = f"x{i}_{rng.randrange(10**6)}"
+        if rng.random() < 0.5:
+            at = rng.choice([20, 120, 220])
+            w[at:at + rng.choice([0, 30])] = rng.choice(passages)
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    least = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in rows:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80, bands=36, rows=5, small_bucket=small).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == dict(enumerate(least))
+
+
 def test_near_duplicates_empty(empty):
     assert near_duplicates(empty).collect() == []
 

@@ -13,8 +13,11 @@ member whose buckets are the fullest in sum (the original among its near copies)
 rows. What is not linked to its hub may still link to another member. Small buckets (``small_bucket``)
 compare such members with all members. In larger buckets a member is compared only where the link is
 still possible: a shingle that no other candidate holds cannot be shared, so the overlap of two sets
-is at most the smaller number of *shared* shingles, and 100 * overlap >= 85 * union must be reachable
-with the two sizes. This bound is exact: it drops no pair that could be a link.
+is at most the smaller number of *shared* shingles. Moreover, inside the hub's set two members share at most
+what the one with less of it has (known from the comparison with the hub), and outside at most the smaller
+number of their shared shingles there: near copies that lost different parts of an original are told apart
+without a comparison. 100 * overlap >= 85 * union must be reachable with the two sizes, and for each member
+with the smallest set of its bucket. These bounds are exact: they drop no pair that could be a link.
 
 *Links* are confirmed on the full sets, in the JVM (``array_intersect``); components come from the links.
 
@@ -136,14 +139,15 @@ def _reachable(a: Column | str, b: Column | str, overlap: Column, percent: int)
     return 100 * overlap >= percent * (F.col(a) + F.col(b) - overlap) if isinstance(a, str) else 100 * overlap >= percent * (a + b - overlap)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets pass. Pairs are spread by b first, so a hub's set travels to the pairs' tasks
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with the overlap of their full sets (``both``) and whether it makes a link. Pairs are spread by b first, so a hub's set travels to the pairs' tasks
     through a join whose skewed side is split."""
     x = sets.select(F.col("did").alias("b"), F.col("s").alias("sb"))
     y = sets.select(F.col("did").alias("a"), F.col("s").alias("sa"))
     both = F.size(F.array_intersect("sa", "sb"))
     # both are shuffle joins at any size: sets are long, and their total grows with the candidates
-    return pairs.hint("merge").join(x, "b").hint("merge").join(y, "a").where(_reachable(F.size("sa"), F.size("sb"), both, percent)).select("a", "b")
+    return pairs.hint("merge").join(x, "b").hint("merge").join(y, "a")\
+        .select("a", "b", both.alias("both"), _reachable(F.size("sa"), F.size("sb"), both, percent).alias("link"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
@@ -172,13 +176,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = buckets.select("did").distinct()
     sets = materialize_table(base.hint("merge").join(wanted, "did", "left_semi").mapInArrow(partial(_set_rows, shingle=shingle), "did long, s array<long>")
                              .dropDuplicates(["did"]), "sets")
-    links = materialize_table(_links(pairs, sets, percent), "links")
+    compared = materialize_table(_compared(pairs, sets, percent), "compared")
+    links = compared.where("link").select("a", "b")
     component = connected_components(links)
     # members that are not in their hub's component yet
     of = component.select(F.col("node").alias("did"), F.col("component").alias("dc"))
     of_hub = component.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
-    placed = hubbed.join(of, "did", "left").join(of_hub, "hub", "left") \
-        .select("bucket", "did", "n", "c", "hub", F.coalesce("dc", "did").alias("dc"), F.coalesce("hc", "hub").alias("hc"))
+    with_hub = compared.select(F.col("a").alias("hub"), F.col("b").alias("did"), "both")
+    placed = hubbed.join(of, "did", "left").join(of_hub, "hub", "left").join(with_hub, ["hub", "did"], "left") \
+        .select("bucket", "did", "n", "c", "hub", "both", F.coalesce("dc", "did").alias("dc"), F.coalesce("hc", "hub").alias("hc"))
     placed = materialize_table(placed, "placed")
     apart = placed.where("dc != hc")
     if not apart.isEmpty():
@@ -190,13 +196,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared = grams.join(common, "g").groupBy("did").agg(F.count("*").alias("shared"))
         rest = rest.join(shared, "did", "left").withColumn(
             "most", F.when(F.col("c") > small_bucket, F.coalesce("shared", F.lit(0))).otherwise(F.col("n")))
-        # a set whose shared part is under percent of itself links with nothing
-        alive = materialize_table(rest.where(100 * F.col("most") >= percent * F.col("n")), "alive")
-        y = alive.where("dc != hc").select("bucket", F.col("did").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"),
-                                           F.col("dc").alias("cb"))
-        x = alive.where("did != hub").select("bucket", F.col("did").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"),
-                                             F.col("dc").alias("ca"), (F.col("dc") != F.col("hc")).alias("too"))
-        possible = _reachable("na", "nb", F.least("na", "nb", "ma", "mb"), percent)
+        # a set whose shared part is under percent of itself links with nothing, nor one whose shared part is too small for a
+        # union with the smallest other set of its bucket
+        least = rest.where(100 * F.col("most") >= percent * F.col("n")).groupBy("bucket").agg(F.min("n").alias("least"))
+        alive = rest.join(least, "bucket").where((100 * F.col("most") >= percent * F.col("n"))
+                                                 & (100 * F.col("most") >= percent * (F.col("n") + F.greatest("least", "most") - F.col("most"))))
+        # inside the hub's set two members share at most what the one that has less of it has; outside, their other shared part
+        alive = materialize_table(alive.withColumn("inside", F.coalesce("both", F.lit(0))).withColumn("outside", F.col("most") - F.col("inside"))
+                                  .withColumn("inside", F.when(F.col("both").isNull(), F.col("most")).otherwise(F.col("inside"))), "alive")
+        y = alive.where("dc != hc").select("bucket", F.col("did").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("inside").alias("ib"),
+                                           F.col("outside").alias("ob"), F.col("dc").alias("cb"))
+        x = alive.where("did != hub").select("bucket", F.col("did").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("inside").alias("ia"),
+                                             F.col("outside").alias("oa"), F.col("dc").alias("ca"), (F.col("dc") != F.col("hc")).alias("too"))
+        possible = _reachable("na", "nb", F.least(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), F.least("ia", "ib") + F.least("oa", "ob")), percent)
         # a pair is compared in the first bucket that its two members share
         codes = known.select("did", "bands").join(alive.select("did").distinct(), "did", "left_semi").dropDuplicates(["did"])
         x = x.join(codes.select(F.col("did").alias("a"), F.col("bands").alias("ka")), "a")
@@ -205,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         earlier = F.exists(F.zip_with(F.slice("ka", F.lit(1), here), F.slice("kb", F.lit(1), here), lambda p, q: p == q), lambda e: e)
         more = x.join(y, "bucket").where((F.col("ca") != F.col("cb")) & possible & (~F.col("too") | (F.col("a") < F.col("b"))) & ~earlier) \
             .select("a", "b").distinct()
-        late = materialize_table(_links(more, sets, percent), "late_links")
+        late = materialize_table(_compared(more, sets, percent).where("link").select("a", "b"), "late_links")
         if not late.isEmpty():
             component = connected_components(links.unionByName(late))
     ids = member.join(component, member["class_id"] == component["node"], "left") \
