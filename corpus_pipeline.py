@@ -1,8 +1,13 @@
 """The training-data pipeline: rules, near-dedup, decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read
-again as the next one's documents. All stages but the last return the columns of their input. An empty
-table passes through all stages; extra columns stay."""
+again as the next one's documents. All stages but the last return the columns of their input.
+
+Defined cases. Null, empty and short texts have no ten words: the rules drop them. Null ids stay through the dedup, are
+sampled by the hash of an empty id and come first in the token files. Rows that share an id are one document to the dedup: they
+stay or go together. Of documents that tie in a group, the least id stays. Null languages and sources are values of their
+own to the mixing. Texts of any length pass whole. An empty table passes through all stages; extra columns stay, whatever
+they are called."""
 
 from __future__ import annotations
 
