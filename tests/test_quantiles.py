@@ -117,3 +117,16 @@ def test_scalars_must_be_one_row(spark):
     for rows in ([], [(1,), (2,)]):
         with pytest.raises(Exception, match="one row"):
             attach_scalars(df, spark.createDataFrame(rows, "x long")).collect()
+
+
+def test_buckets_are_found_without_lambdas(spark):
+    """A bucket search that whole-stage code does not run costs microseconds a value."""
+    from tillwise.functions.quantiles import SPLITS, _count_below
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 8, 63, 64, 65, 400, SPLITS - 1):
+        splits = np.unique(rng.integers(0, 2000, 4 * n + 1).astype(float))[:n]
+        values = np.concatenate((rng.integers(-5, 2005, 300).astype(float), splits))
+        df = spark.createDataFrame([(float(v), splits.tolist()) for v in values] + [(float("nan"), splits.tolist()), (None, splits.tolist())], "v double, s array<double>")
+        got = df.select("v", _count_below(F.col("s"), F.col("v")).alias("b"))
+        assert [r["b"] for r in got.collect()] == [*np.searchsorted(splits, values, "left").tolist(), len(splits), 0]
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()

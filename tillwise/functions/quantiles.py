@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.materialize import materialize as _materialize
 from tillwise.functions.materialize import materialize_table
 
-SPLITS = 512
+SPLITS = 512  # 8 * 8 * 8, see _count_below
 _V, _C, _N, _K, _B = "_q_v", "_q_c", "_q_n", "_q_key", "_q_bucket"
 
 
@@ -138,15 +138,15 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], plai
 
 
 def _count_below(splits: Column, v: Column) -> Column:
-    """How many of the ascending splits lie below v, by binary search (steps for up to SPLITS entries)."""
-    def step(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        less = F.get(splits, mid) < v
-        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(
-            F.when(less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(less, s["hi"]).otherwise(mid).alias("hi")))
-
-    start = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SPLITS.bit_length())), start, step)["lo"]
+    """How many of the ascending splits lie below v (SPLITS - 1 at most): three levels of seven plain comparisons each, which
+    whole-stage code runs; a level's result is one common subexpression of the next. Past the array's end nothing is below."""
+    def below(at: Column, width: int) -> Column:
+        return sum((F.when(F.get(splits, at + (i * width - 1)) < v, F.lit(width)).otherwise(F.lit(0)) for i in range(1, 8)), at)
+
+    found = F.lit(0)
+    for width in (64, 8, 1):
+        found = below(found, width)
+    return found
 
 
 def _any(conds: list[Column]) -> Column:
