@@ -140,3 +140,11 @@ def test_outlier_points_of_box_plots(spark):
         assert all(c == mine.count(v) and before == mine.index(v) for _, v, c, before in got)
     stats = {r["column"]: r["n_fliers"] for r in P.boxplot_stats(spark.createDataFrame(rows, "a double, flat double")).collect()}
     assert {r["column"] for r in out} == {"a"} and stats["flat"] == 0 and stats["a"] == sum(r["count"] for r in out)
+
+
+def test_first_seen_values_fold_by_hashes(spark):
+    """Cells meet a hash aggregate first: the least struct alone would sort every cell of a task."""
+    df = spark.range(100).selectExpr("CAST(id % 7 AS STRING) AS a", "named_struct('file', 'f', 'block', 0L, 'row', id) AS at")
+    firsts = P.first_seen_values(df, ["a"], k=3, position="at")
+    plan = [x for x in firsts._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in x]
+    assert "HashAggregate" in plan[-1] and [r["value"] for r in firsts.orderBy("rank").collect()] == ["0", "1", "2"]

@@ -145,7 +145,11 @@ def first_seen_values(df: DataFrame, cols: Sequence[str] | None = None, k: int |
     (column, rank, value); ``k=None`` gives all. One read of the source: a value folds to its least position before the shuffle."""
     cols = list(cols if cols is not None else columns_of_type(df, "string"))
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.col(position).alias("_at")) for c in cols]
-    firsts = df.select(F.inline(F.array(*cells))).groupBy("column", "value").agg(F.min("_at").alias("_at"))
+    # a value's least row of each split first: a plain number, which a hash aggregate folds; the least struct needs a sort, of
+    # the few rows that are left
+    splits = df.select(F.inline(F.array(*cells))).groupBy("column", "value", F.col("_at.file").alias("file"), F.col("_at.block").alias("block")) \
+        .agg(F.min("_at.row").alias("row"))
+    firsts = splits.groupBy("column", "value").agg(F.min(F.struct("file", "block", "row")).alias("_at"))
     if k is not None:
         seen = Window.partitionBy("column").orderBy("_at")
         return firsts.withColumn("rank", F.row_number().over(seen)).where(F.col("rank") <= k).select("column", "rank", "value")
