@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import llm_fixtures as fixtures
 from llm_fixtures import docs, empty, prose  # noqa: F401
 from tillwise.llm.components import connected_components
-from tillwise.llm.line_dedup import bounded_distance, dedup_lines, line_classes, line_links, line_report
+from tillwise.llm.line_dedup import PARTS, _verified, bounded_distance, dedup_lines, line_classes, line_links, line_report
 from tillwise.llm.minhash import drop_near_duplicates, near_duplicates
 from tillwise.llm.substring_dedup import dedup_substrings
 
@@ -227,3 +227,13 @@ def test_bounded_distance(spark):
         pairs.append((a, b, min(fixtures.edit_distance(a, b), 2)))
     got = spark.createDataFrame(pairs, "a string, b string, d int").select("a", "b", "d", F.least(bounded_distance(F.col("a"), F.col("b")), F.lit(2)).alias("g"))
     assert got.where("d != g").collect() == []
+
+
+def test_lines_are_compared_once_a_pair(spark):
+    """The part that an edit spoils is looked for once a pair, not wherever its place is named."""
+    line = "an old mill by the river grinds corn for a village"
+    pairs = [(1, 2, line, line.replace("mill", "mall")), (3, 4, line, line + "s"), (5, 6, line[1:], line), (7, 8, line, line.replace("l", "m")), (9, 10, line, line + "ss")]
+    got = _verified(spark.createDataFrame(pairs, "a long, b long, la string, lb string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (3, 4), (5, 6)]
+    plan = _verified(spark.range(4).selectExpr("id AS a", "id AS b", "CAST(id AS STRING) AS la", "CAST(id AS STRING) AS lb"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(") <= 4 * PARTS + 4

@@ -135,6 +135,28 @@ def _pairs(shared: DataFrame) -> DataFrame:
     return x.join(y, "entry").where("(probe AND a != b) OR (NOT probe AND a < b)").select("a", "b")
 
 
+def _verified(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of candidates (a, b, la, lb) whose lines are within one edit."""
+    m, n = F.char_length("la"), F.char_length("lb")
+
+    def linked(s: Column) -> Column:
+        x, y, n = s["x"], s["y"], s["n"]
+        # one edit spoils one of PARTS parts: what is before it and behind it is equal, and adds no edits
+        c = [F.floor(n * i / PARTS).cast("int") for i in range(PARTS + 1)]
+        spoiled = F.coalesce(*(F.when((F.left(x, c[i]) == F.left(y, c[i])) & (F.right(x, n - c[i + 1]) == F.right(y, n - c[i + 1])),
+                                      F.struct(c[i].alias("at"), (n - c[i + 1]).alias("behind"))) for i in range(PARTS)))
+
+        def middle(t: Column, p: Column) -> Column:
+            return F.substring(t, p["at"] + 1, F.char_length(t) - p["at"] - p["behind"])
+
+        return _let(spoiled, lambda p: p.isNotNull() & (bounded_distance(middle(x, p), middle(y, p)) <= 1))
+
+    # each value is found once a pair: as columns, the optimizer would put their expressions wherever they are named
+    longer = F.struct(F.when(m >= n, F.col("la")).otherwise(F.col("lb")).alias("x"), F.when(m >= n, F.col("lb")).otherwise(F.col("la")).alias("y"),
+                      F.least(m, n).alias("n"))
+    return pairs.where(F.abs(m - n) <= 1).where(_let(longer, linked)).select("a", "b")
+
+
 def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(lines, links). lines: h (hash of the line), first (did, rid, no) and copies. links: pairs (a, b) of hashes of
@@ -165,20 +187,7 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hot = hot.where(F.col("n") > bucket)
     a, b = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
     pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b")
-    longer, shorter = F.when(F.char_length("la") >= F.char_length("lb"), F.col("la")).otherwise(F.col("lb")), \
-        F.when(F.char_length("la") >= F.char_length("lb"), F.col("lb")).otherwise(F.col("la"))
-    pairs = pairs.select("a", "b", longer.alias("x"), shorter.alias("y")).where(F.char_length("x") - F.char_length("y") <= 1)
-    # one edit spoils one of PARTS parts: what is before it and behind it is equal, and adds no edits
-    n = F.char_length("y")
-    c = [F.floor(n * i / PARTS).cast("int") for i in range(PARTS + 1)]
-    spoiled = F.coalesce(*(F.when((F.left("x", c[i]) == F.left("y", c[i])) & (F.right("x", n - c[i + 1]) == F.right("y", n - c[i + 1])),
-                                  F.struct(c[i].alias("at"), (n - c[i + 1]).alias("behind"))) for i in range(PARTS)))
-    parts = pairs.withColumn("p", spoiled).where("p IS NOT NULL")
-
-    def middle(name: str) -> Column:
-        return F.substring(F.col(name), F.col("p.at") + 1, F.char_length(name) - F.col("p.at") - F.col("p.behind"))
-
-    links = parts.where(bounded_distance(middle("x"), middle("y")) <= 1).select("a", "b")
+    links = _verified(pairs)
     return lines.select("h", "first", "copies"), materialize_table(links, "line_links")
 
 
