@@ -21,3 +21,9 @@ def test_run_analysis_reports(spark):
     assert rep["customers"].count() == sum(want.values())
     for k in ["churn_metrics", "clv_metrics", "dual_top_summary", "segment_profile", "top_revenue"]:
         assert rep[k].count() >= 1
+
+
+def test_reports_read_written_lines(spark):
+    """Copies and fences are found once, not once a report."""
+    plan = run_analysis(dirty_lines(spark, SF_SMALL))["clean_shape"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Filter" not in plan

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from tillwise.functions import fingerprints as FP
 from tillwise.functions.cascade import cascade_fences, within
 from tillwise.operators import cleaning as C
+from tillwise.sources.testdata import dirty_lines, table
+
+SF_SMALL = "/root/testdata/sf0.001"
 
 SCHEMA = "a string, b string, x double, n long"
 
@@ -80,3 +83,18 @@ def test_fences_reach_the_scan(spark, tmp_path):
     spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS Quantity", "CAST(id % 9 AS DOUBLE) AS UnitPrice").write.parquet(str(tmp_path / "t"))
     out = C.iqr_cascade(spark.read.parquet(str(tmp_path / "t")))
     assert "GreaterThanOrEqual(Quantity" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_copies_are_compared_once(spark):
+    """With more repeated fingerprints than are broadcast, the shuffle of whole rows runs once, not for each reader of the result."""
+    df = FP.distinct_rows(spark.createDataFrame(rows(), SCHEMA).repartition(6), max_broadcast=0)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_dirty_lines_take_one_join(spark):
+    lines = dirty_lines(spark, SF_SMALL)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 5  # five tables, each once
+    keys = table(spark, SF_SMALL, "lineitem").select("l_orderkey")
+    twice = lines.groupBy(F.col("InvoiceNo").cast("long").alias("k")).count()
+    want = keys.groupBy(F.col("l_orderkey").alias("k")).agg((F.count("*") * F.when(F.col("k") % 53 == 0, 2).otherwise(1)).alias("n"))
+    assert twice.join(want, "k", "full").where("count IS NULL OR n IS NULL OR count != n").count() == 0

@@ -22,8 +22,8 @@ _HIGH, _LOW = "_fp_high", "_fp_low"
 def fingerprint(df: DataFrame) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of a row. Spark's hash passes over NULL, so which columns are NULL is hashed too."""
     cols = [F.col(f"`{c}`") for c in df.columns]
-    nulls = F.concat_ws("", *[F.when(c.isNull(), "0").otherwise("1") for c in cols])
-    return F.xxhash64(*cols, nulls), F.xxhash64(F.lit("low"), nulls, *reversed(cols))
+    nulls = [c.isNull() for c in cols]
+    return F.xxhash64(*cols, *nulls), F.xxhash64(F.lit("low"), *nulls, *reversed(cols))
 
 
 def _repeated(df: DataFrame, of: Callable[[DataFrame], tuple[Column, Column]]) -> tuple[DataFrame, DataFrame, int]:
@@ -37,8 +37,8 @@ def _repeated(df: DataFrame, of: Callable[[DataFrame], tuple[Column, Column]]) -
 def distinct_rows(df: DataFrame, of: Callable[[DataFrame], tuple[Column, Column]] = fingerprint, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``df.dropDuplicates()`` for rows that are cheap to read twice (a written table). Runs the count of fingerprints."""
     marked, twice, n = _repeated(df, of)
-    if n > max_broadcast:
-        return df.dropDuplicates()
+    if n > max_broadcast:  # every row is shuffled: once, also for those who read the result more than once
+        return materialize_table(df.dropDuplicates(), "distinct")
     few = F.broadcast(twice)
     once = marked.join(few, [_HIGH, _LOW], "left_anti").select(df.columns)
     return once.unionByName(marked.join(few, [_HIGH, _LOW], "left_semi").select(df.columns).dropDuplicates()) if n else once

@@ -38,9 +38,8 @@ def run_analysis(raw: DataFrame, order: str = "dedupe_first", churn_days: int =
     out: dict[str, DataFrame] = {}
     out["raw_shape"] = P.shape(raw)
     out["raw_missing"] = P.null_counts(raw)
-    lines = C.clean(raw, order=order)
-    if order == "outliers_first":  # ends with a dedupe: computed once; else the lines are a filter over a written table
-        lines = materialize_table(lines, "clean-lines")
+    # the search for copies and the fences run once, not once a report
+    lines = materialize_table(C.clean(raw, order=order), "clean-lines")
     out["clean_shape"] = P.shape(lines)
     out["clean_describe"] = P.describe(lines, [QUANTITY, UNIT_PRICE, TOTAL_PRICE])
     out["clean_duplicates"] = repeated_rows(lines)
