@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from llm_fixtures import docs, empty, prose  # noqa: F401
 from tillwise.llm.components import connected_components
 from tillwise.llm.line_dedup import PARTS, _verified, bounded_distance, dedup_lines, line_classes, line_links, line_report
 from tillwise.llm.minhash import drop_near_duplicates, near_duplicates
-from tillwise.llm.substring_dedup import dedup_substrings
+from tillwise.llm.substring_dedup import ANCHOR, _frequent_runs, _runs, dedup_substrings
+from tillwise.llm.words import Words, signed
 
 
 @pytest.mark.parametrize("group_limit", [1, 2000])
@@ -42,6 +45,25 @@ def test_many_equal_rows(spark):
     assert [(r["kept_text"], [tuple(x) for x in r["removed"]]) for r in whole] == [("", [(0, 300)])]
 
 
+def test_equal_frequent_runs_are_one_row():
+    """Copies that differ by a word send the runs they share once a chunk, with their places."""
+    rng = random.Random(2)
+    base = prose(rng, 300, 9000).split()
+    texts = [" ".join(base[:5 * k] + [f"x{k}"] + base[5 * k + 1:]) for k in range(50)]
+    data = [t.encode() for t in texts]
+    _, _, n, key = _runs(Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])), 35, ANCHOR)
+    ids = pa.array(range(50), pa.int64())
+    heavy = pa.array([signed(np.unique(key)).tolist()] * 50, pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts), heavy], ["rid", "did", "text", "heavy"])
+    got = [r for b in _frequent_runs(iter([batch]), 35, ANCHOR) for r in b.to_pylist()]
+    places = [(x["rid"], x["start"], r["n"]) for r in got for x in r["places"]]
+    assert len(places) == len(set(places)) == len(n) and sum(x[2] for x in places) == 50 * (300 - 34)
+    assert all(len(r["windows"]) == r["n"] for r in got) and len({(r["r1"], r["r2"]) for r in got}) == len(got)
+    for r in got:
+        assert len({tuple(texts[x["rid"]].split()[x["start"]:x["start"] + r["n"] + 34]) for x in r["places"]}) == 1
+    assert len(got) < len(n) / 2
+
+
 def test_substrings_empty(empty):
     assert dedup_substrings(empty).collect() == []
 

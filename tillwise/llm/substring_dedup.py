@@ -16,7 +16,8 @@ corpus-wide, the subtrees are built group by group, each group small enough for
 3. *Variable-length prefixes.* Prefixes seen up to ``group_limit`` times are groups: their text
    slices meet in one task. A more frequent prefix is extended to the passage's full length; such a
    group is one node, so counting it (with map-side combining) replaces the tree, at any skew. Runs of
-   passages that are equal as a whole are counted first, so copies of a hot passage are one row.
+   passages that are equal as a whole are counted first, so copies of a hot passage are one row; those
+   of one chunk of documents travel as one row with their places.
 4. *Subtrees.* In each group the suffixes are sorted word by word; neighbours that agree on at least
    ``min_words`` words hang under one deep inner node. Deep inner nodes with two leaves or more are
    the repeats; in each document, runs of them join to maximal repeated spans.
@@ -124,7 +125,8 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iter
 
 
 def _frequent_runs(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """The runs of windows under a very frequent anchor: a 128-bit fingerprint of the run, and one of each of its windows."""
+    """The runs of windows under a very frequent anchor: a 128-bit fingerprint of the run, one of each of its windows, and the
+    places where it occurs. Equal runs of a chunk are one row."""
     kind = pa.struct([("f1", pa.int64()), ("f2", pa.int64())])
     for b in batches:
         rid, did = b.column("rid").to_numpy(), b.column("did").to_numpy()
@@ -141,10 +143,15 @@ def _frequent_runs(batches: Iterator[pa.RecordBatch], length: int, anchor: int)
             place = (np.arange(heads[-1]) - np.repeat(heads[:-1], n)).astype(np.uint64) + np.uint64(1)
             r1, r2 = (mix(np.add.reduceat(mix(f + mix(place)), heads[:-1]) + n.astype(np.uint64)) for f in (f1, f2))
             windows = pa.StructArray.from_arrays([pa.array(signed(f1)), pa.array(signed(f2))], fields=list(kind))
+            windows = pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), windows)
+            order = np.lexsort((r2, r1))
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(r1[order]) != 0) | (np.diff(r2[order]) != 0))))
+            one = order[new]
+            places = pa.StructArray.from_arrays([pa.array(rid[lo + doc[order]]), pa.array(did[lo + doc[order]]),
+                                                 pa.array((p - w.first[doc])[order].astype(np.int32))], ["rid", "did", "start"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(r1)), pa.array(signed(r2)), pa.array(rid[lo + doc]), pa.array(did[lo + doc]),
-                 pa.array((p - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), windows)], ["r1", "r2", "rid", "did", "start", "n", "windows"])
+                [pa.array(signed(r1[one])), pa.array(signed(r2[one])), pa.array(n[one].astype(np.int32)), windows.take(pa.array(one)),
+                 pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), places)], ["r1", "r2", "n", "windows", "places"])
 
 
 def _deep_nodes(t: pa.Table, length: int) -> pa.RecordBatch:
@@ -271,15 +278,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .mapInArrow(partial(_subtrees, length=min_words), "rid long, did long, start int, mask long")
     runs = candidates.where(F.size("heavy") > 0) \
         .mapInArrow(partial(_frequent_runs, length=min_words, anchor=anchor),
-                    "r1 long, r2 long, rid long, did long, start int, n int, windows array<struct<f1:bigint,f2:bigint>>")
+                    "r1 long, r2 long, n int, windows array<struct<f1:bigint,f2:bigint>>, places array<struct<rid:bigint,did:bigint,start:int>>")
     # a run that occurs twice is all repeated; of one that occurs once, each window may occur in another run
-    distinct = runs.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.any_value("n").alias("n"), F.any_value("windows").alias("windows"))
+    distinct = runs.groupBy("r1", "r2").agg(F.sum(F.size("places")).alias("c"), F.any_value("n").alias("n"), F.any_value("windows").alias("windows"))
     nodes = distinct.select("c", F.inline("windows")).groupBy("f1", "f2").agg(F.sum("c").alias("c")).where("c > 1").drop("c")
     single = distinct.where("c = 1").select("r1", "r2", F.posexplode("windows").alias("at", "f")) \
         .select("r1", "r2", "at", "f.f1", "f.f2").join(nodes, ["f1", "f2"]) \
         .groupBy("r1", "r2").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     twice = distinct.where("c > 1").select("r1", "r2", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
-    deep = runs.select("r1", "r2", "rid", "did", "start").join(single.unionByName(twice), ["r1", "r2"]).select("rid", "did", "start", "mask")
+    deep = runs.select("r1", "r2", "places").join(single.unionByName(twice), ["r1", "r2"]).select(F.inline("places"), "mask")
     marks = trees.unionByName(deep).groupBy("rid").agg(F.collect_list(F.struct("did", "start", "mask")).alias("marks"))
     no_marks: Column = F.array().cast("array<struct<did:bigint,start:int,mask:bigint>>")
     schema = "did long, n_words long, n_removed long, kept_sha256 string"
