@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from tillwise.llm.shipping import shipped
 from tillwise.llm.words import _BYTE, _GRAM, _powers, byte_chunks, gram_hashes, mix
+from tillwise.llm.workers import kept, trim
 
 Q, EDIT_RATE, WINDOW, MIN_ITEM = 10, 0.07, 160, 50
 SHARE, SHORT_SHARE, RUN = 0.6, 0.85, 8
@@ -287,12 +288,14 @@ def found_items(buf: np.ndarray, offs: np.ndarray, ix: Index) -> tuple[np.ndarra
 
 def _found(ix: Index):
     def run(texts: pa.Array) -> pa.Array:
+        kept("decontaminate")
         lists: list[list[dict]] = []
         for lo, hi, buf, offs in byte_chunks(texts):
             part: list[list[dict]] = [[] for _ in range(hi - lo)]
             for d, item, edits in zip(*(a.tolist() for a in found_items(buf, offs, ix)), strict=True):
                 part[d].append({"item_id": item, "edits": edits})
             lists += part
+        trim()
         return pa.array(lists, pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())])))
 
     return run

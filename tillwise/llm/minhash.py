@@ -44,6 +44,7 @@ from tillwise.functions.materialize import materialize_table
 from tillwise.llm.components import connected_components
 from tillwise.llm.shipping import shipped
 from tillwise.llm.words import Words, chunks, gram_hashes, mix, signed
+from tillwise.llm.workers import kept, trim
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
@@ -109,6 +110,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    kept("minhash")
     for b in batches:
         for lo, hi, w in chunks(b.column("text"), lower=True, limit=1 << 19):
             s, sizes = shingle_sets(w, shingle)
@@ -123,6 +125,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], shingle: int, bands: int,
                 [b.column("did").slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(signed(fp[:, 0].copy())),
                  pa.array(signed(fp[:, 1].copy())), pa.ListArray.from_arrays(pa.array(offs), pa.array(signed(keys.ravel())))],
                 ["did", "n", "f1", "f2", "bands"])
+        trim()
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -132,6 +135,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
             offs = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column("did").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offs), pa.array(signed(s)))], ["did", "s"])
+        trim()
 
 
 def _reachable(a: Column | str, b: Column | str, overlap: Column, percent: int) -> Column:

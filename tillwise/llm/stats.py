@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tillwise.llm.words import _BASE, _BYTE, _WORD, Words, _powers, chunks, gram_hashes, mix
+from tillwise.llm.workers import kept, trim
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words",
           "n_letters", "n_upper", "n_digits", "n_stops", "n_bangs", "n_commas", "n_pipes", "n_long_words",
@@ -113,7 +114,9 @@ def count_rows(texts: pa.Array) -> np.ndarray:
 
 
 def _counts_udf(texts: pa.Array) -> pa.Array:
+    kept("stats")
     rows = count_rows(texts)
+    trim()
     return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], list(COUNTS))
 
 

@@ -130,7 +130,7 @@ def _frequent_runs(batches: Iterator[pa.RecordBatch], length: int, anchor: int)
     kind = pa.struct([("f1", pa.int64()), ("f2", pa.int64())])
     for b in batches:
         rid, did = b.column("rid").to_numpy(), b.column("did").to_numpy()
-        for lo, hi, w in chunks(b.column("text")):
+        for lo, hi, w in chunks(b.column("text"), limit=1 << 19):
             doc, p, n, key = _runs(w, length, anchor)
             keep = _member(doc, signed(key), b.column("heavy").slice(lo, hi - lo))
             doc, p, n, key = doc[keep], p[keep], n[keep], key[keep]

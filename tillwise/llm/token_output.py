@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.materialize import materialize_table
 from tillwise.llm.shipping import shipped
+from tillwise.llm.workers import kept, trim
 from tillwise.session import derived_path
 
 SKIPPABLE, SEEK_MAGIC, IDS_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -173,14 +174,12 @@ class Encoder:
         return done
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
-    """One encoder for all tasks of a worker process, so its cache serves them all."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder for all tasks of a worker process, so its cache serves them all, until another operator works there."""
+    encoders = kept("token_output")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -258,7 +257,7 @@ class Reader:
 
 def _write(batches: Iterable[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     fs, root = filesystem(folder)
-    encoder = writer = None
+    encoder, writer, done = None, None, 0
     end = struct.pack("<I", end_id)
     part = TaskContext.get().partitionId()
     name = f"part-{part:06d}-{uuid.uuid4().hex}.tokens.zst"
@@ -272,6 +271,10 @@ def _write(batches: Iterable[pa.RecordBatch], folder: str, path: str, end_id: in
             texts = [t or "" for t in rows.column("text").to_pylist()]
             for doc_id, ids in zip(rows.column("did").to_pylist(), encoder.encode(texts), strict=True):
                 writer.add(doc_id, ids + end)
+            done += 1
+            if done % 4 == 0:
+                trim()
+    trim()
     if writer is not None:
         writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(writer.ids)]), pa.array([writer.tokens])],

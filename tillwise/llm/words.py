@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _SPACES = (9, 10, 11, 12, 13, 32)
