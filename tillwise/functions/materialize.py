@@ -10,9 +10,12 @@ lose the data. The tables stay until ``release_scratch`` (or the end of a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from tillwise.session import derived_path
+from pyspark.sql import DataFrame, SparkSession
+
+from tillwise.session import derived_path, scratch_scope
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -20,10 +23,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return materialize_table(df, "small")
 
 
-def materialize_table(df: DataFrame, name: str = "table") -> DataFrame:
-    """Compute ``df`` once and write it as a Parquet table in the shared folder;
+def materialize_table(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+    """Compute ``df`` once and write it as a Parquet table in the shared folder (or at ``path``);
     later reads get column pruning and filter pushdown (for wide line-level data)."""
     spark = df.sparkSession
-    path = derived_path(spark, name)
+    path = path or derived_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+@contextmanager
+def only_kept(spark: SparkSession, *names: str) -> Iterator[list[str]]:
+    """``with only_kept(spark, "a", "b") as (a, b): ...``: paths for the tables that outlive the block; all others that it writes
+    are deleted at its end. Nothing that is read later may need them."""
+    paths = [derived_path(spark, n) for n in names]
+    with scratch_scope(spark):
+        yield paths

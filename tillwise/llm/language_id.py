@@ -11,10 +11,11 @@ Scale. Words are counted over all training documents: each task counts its words
 sends (language, word, count); Spark adds them up. N-grams are counted from the distinct words, weighted
 by the counts. Every word and n-gram of every language is kept, in written tables (word or gram, and for
 each language that holds it its score's distance from ``PENALTY``) that grow with the input. Only the
-``HEAD_WORDS`` most frequent words travel to the tasks: they are summed up in one pass over the texts, by
-a bounded cache. The other words of a document are looked up by a join of the distinct ones with the
+``HEAD_WORDS`` most frequent words travel to the tasks: they are summed up in one pass over the texts, a
+chunk of about ``TEXT_BYTES`` at a time, looking at its distinct tokens. The other words of a document are looked up by a join of the distinct ones with the
 table, and those unknown there by joins of their n-grams, a length at a time; keys that hold a large part
-of the rows are joined by broadcast (at most ``HOT`` keys). :func:`fit_language_model` brings the whole
+of the rows are joined by broadcast (at most ``HOT`` keys). Tables that the predictions no longer read
+are deleted on the way. :func:`fit_language_model` brings the whole
 model to the driver, to look at a small one.
 
 Defined cases. Null text, or text without a letter: ``und``, score 0. No training documents: ``und`` for
@@ -25,24 +26,25 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.materialize import materialize_table
+from tillwise.functions.materialize import materialize_table, only_kept
 from tillwise.llm.quality_classifier import held_out
 from tillwise.llm.shipping import shipped
+from tillwise.llm.words import byte_chunks
 
 LONGEST, PENALTY, EVIDENCE = 5, 7.0, 8
 HEAD_WORDS, HOT = 50_000, 2_000
-TABLE_ROWS, CACHE_CELLS = 400_000, 1_500_000
+TABLE_ROWS, SUM_CELLS, TEXT_BYTES, GRAM_BYTES = 400_000, 2_000_000, 1 << 20, 1 << 20
 
 
 def normal(token: str) -> str | None:
@@ -63,45 +65,93 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i:i + n] for i in range(len(padded) - n + 1)]
 
 
-def _batch(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
-    lang, word, n = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of each token, what ``str.split`` gives: its row and its place among the distinct tokens; and these. Empty tokens may stand
+    at the ends of a text."""
+    cut = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    coded = cut.flatten().dictionary_encode()
+    return pc.list_parent_indices(cut).to_numpy().astype(np.int64), coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
-def _flush(tables: dict[str, Counter], plain: bool) -> Iterator[pa.RecordBatch]:
+def _flush(tables: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
     for lang, table in tables.items():
-        out: Counter = Counter()
+        out: dict[str, int] = {}
         for token, n in table.items():
-            word = token if plain else normal(token)
+            word = normal(token)
             if word is not None:
-                out[word] += n
-        rows = [(lang, w, n) for w, n in out.items()]
-        for i in range(0, len(rows), 50_000):
-            yield _batch(rows[i:i + 50_000])
+                out[word] = out.get(word, 0) + n
+        words, counts = pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())
+        for i in range(0, len(out), 50_000):
+            word = words.slice(i, 50_000)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(word)), word, counts.slice(i, 50_000)], ["lang", "word", "n"])
     tables.clear()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables: dict[str, Counter] = {}
+    tables: dict[str, dict[str, int]] = {}
     for b in batches:
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-            tables.setdefault(lang, Counter()).update(text.as_py().split())
+        for lo, hi, _, _ in byte_chunks(b.column("text"), TEXT_BYTES):
+            row, place, tokens = _tokens(b.column("text").slice(lo, hi - lo))
+            langs = b.column("lang").slice(lo, hi - lo).dictionary_encode()
+            spoken = langs.indices.to_numpy()[row]
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                counts = np.bincount(place[spoken == k], minlength=len(tokens))
+                at = np.flatnonzero(counts)
+                table = tables.setdefault(lang, {})
+                get = table.get
+                for i, n in zip(at.tolist(), counts[at].tolist(), strict=True):
+                    table[tokens[i]] = get(tokens[i], 0) + n
             if sum(map(len, tables.values())) > TABLE_ROWS:
-                yield from _flush(tables, False)
-    yield from _flush(tables, False)
+                yield from _flush(tables)
+    yield from _flush(tables)
+
+
+def _gram_counts(langs: pa.Array, words: list[str], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The n-grams of words with the sums of their words' counts, a length at a time: a gram's number is that of its first
+    characters and its last one."""
+    text = "".join([f" {w} " for w in words])
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.repeat(np.cumsum(size), size)
+    coded = langs.dictionary_encode()
+    lang, names = np.repeat(coded.indices.to_numpy().astype(np.int64), size), coded.dictionary.cast(pa.string())
+    n_of = np.repeat(counts, size)
+    letters, letter = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_inverse=True)
+    at, number = np.arange(len(text)), lang
+    for n in range(1, LONGEST + 1):
+        fits = at + n <= end[at]
+        at = at[fits]
+        key = number[fits] * len(letters) + letter[at + n - 1]
+        if not len(at):
+            return
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate(([True], np.diff(key[order]) != 0))
+        heads = np.flatnonzero(new)
+        number = np.empty(len(at), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = at[order[heads]]
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(lang[first])), pa.array([text[i:i + n] for i in first.tolist()], pa.string()),
+             pa.array(np.add.reduceat(n_of[at[order]], heads))], ["lang", "word", "n"])
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables: dict[str, Counter] = {}
+    held: list[pa.RecordBatch] = []
+    n_chars = 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield from _gram_counts(t.column("lang").combine_chunks(), t.column("word").to_pylist(), t.column("n").to_numpy())
+        held.clear()
+
     for b in batches:
-        for lang, word, k in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-            table = tables.setdefault(lang, Counter())
-            for n in range(1, LONGEST + 1):
-                for g in grams(word, n):
-                    table[g] += k
-        if sum(map(len, tables.values())) > TABLE_ROWS:
-            yield from _flush(tables, True)
-    yield from _flush(tables, True)
+        for lo, hi, buf, _ in byte_chunks(b.column("word"), GRAM_BYTES):
+            held.append(b.slice(lo, hi - lo))
+            n_chars += len(buf)
+            if n_chars > GRAM_BYTES:
+                yield from counted()
+                n_chars = 0
+    if held:
+        yield from counted()
 
 
 class Model:
@@ -153,89 +203,57 @@ class Tables:
 
 
 class Head:
-    """The most frequent words, for the tasks."""
+    """The most frequent words, for the tasks. The cells of word i, (place, score), are ``starts[i]`` to ``starts[i + 1]``; the last
+    place counts words."""
 
     def __init__(self, languages: int, rows: list[tuple[str, list[tuple[int, float]]]]):
-        self.width = languages + 1  # the last column counts words
-        self.vecs = {word: [(tuple(v)) for v in vec] for word, vec in rows}
-        self.key = hashlib.sha256(repr((languages, sorted(self.vecs.items()))).encode()).hexdigest()
-
-
-class _Cache(dict):
-    """Token -> place in ``rows`` (sums of a head word; zeros for others) and in ``tail`` (the word, if it is not in the head and
-    has a letter). ``old``: the cache before this one, whose rows are taken over when they are used again."""
-
-    def __init__(self, head: Head, old: _Cache | None = None):
-        super().__init__()
-        self.head, self.old = head, old
-        self.rows, self.used, self.new = np.zeros((1 << 14, head.width)), 0, []
-        self.tail: list[str | None] = []
-        self.is_tail = np.zeros(1 << 14, bool)
-
-    def __missing__(self, token: str) -> int:
-        at = len(self)
-        if self.old is not None and (i := self.old.get(token)) is not None:
-            self.new.append(self.old.rows[i])
-            self.tail.append(self.old.tail[i])
-        else:
-            word = normal(token)
-            vec = self.head.vecs.get(word) if word is not None else None
-            row = [0.0] * self.head.width
-            for place, d in vec or ():
-                row[place] = d  # -1 is the last column
-            self.new.append(row)
-            self.tail.append(word if vec is None else None)
-        self[token] = at
-        return at
-
-    def flushed(self) -> tuple[np.ndarray, np.ndarray]:
-        """All rows and whether they are tail words, the new ones included."""
-        if self.new:
-            end = self.used + len(self.new)
-            while end > len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-                self.is_tail = np.concatenate((self.is_tail, np.zeros_like(self.is_tail)))
-            self.rows[self.used:end] = self.new
-            self.is_tail[self.used:end] = [w is not None for w in self.tail[self.used:end]]
-            self.used, self.new = end, []
-        return self.rows, self.is_tail
-
+        self.width = languages + 1
+        self.words = [word for word, _ in rows]
+        self.starts = np.cumsum([0, *(len(vec) for _, vec in rows)])
+        self.places = np.array([place for _, vec in rows for place, _ in vec], np.int64) % self.width
+        self.scores = np.array([d for _, vec in rows for _, d in vec], float)
 
-#: The cache of this worker process, for the head it has seen last: it serves all its tasks.
-_CACHE: dict[str, _Cache] = {}
 
-
-def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int32))).astype(np.int32)), values)
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
 
 
 def _head_sums(batches: Iterator[pa.RecordBatch], head: Head) -> Iterator[pa.RecordBatch]:
     """Of each row: the sums over its head words, and its other words with their counts."""
-    cache = _CACHE.get(head.key) or _Cache(head)
-    limit = max(CACHE_CELLS // head.width, 1 << 14)
+    known = {word: i for i, word in enumerate(head.words)}  # words are normal, so a token that equals one is that word
+    most, step = 4 * len(known), max(SUM_CELLS // head.width, 1)
     for b in batches:
-        texts = b.column("text")
-        sums, words, counts, sizes = [], [], [], []
-        for lo in range(0, len(texts), 64):
-            if len(cache) > limit:
-                cache.old = None
-                cache = _Cache(head, cache)
-            get = cache.__getitem__
-            tokens = [(t.as_py() or "").split() for t in texts.slice(lo, 64)]
-            ids = [np.fromiter(map(get, t), np.int64, len(t)) for t in tokens]
-            rows, is_tail = cache.flushed()
-            for i in ids:
-                sums.append(rows[i].sum(axis=0))
-                at, n = np.unique(i[is_tail[i]], return_counts=True)
-                words += [cache.tail[k] for k in at.tolist()]
-                counts += n.tolist()
-                sizes.append(len(at))
-        flat = np.concatenate(sums) if sums else np.zeros(0)
-        tail = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "c"])
-        yield pa.RecordBatch.from_arrays([b.column("did"), _lists([head.width] * len(sums), pa.array(flat, pa.float64())), _lists(sizes, tail)],
-                                         ["did", "sums", "tail"])
-    _CACHE.clear()
-    _CACHE[head.key] = cache
+        for lo, hi, _, _ in byte_chunks(b.column("text"), TEXT_BYTES):
+            row, place, tokens = _tokens(b.column("text").slice(lo, hi - lo))
+            word_of = np.fromiter(map(known.get, tokens, repeat(-1)), np.int64, len(tokens))
+            tail_of = np.full(len(tokens), -1)
+            tail: dict[str, int] = {}
+            for i in np.flatnonzero(word_of < 0).tolist():
+                word = normal(tokens[i])
+                if word is None:
+                    continue
+                if (at := known.get(word)) is not None:
+                    word_of[i] = at
+                    if len(known) < most:
+                        known[tokens[i]] = at  # no word is spelled so, since words are normal
+                else:
+                    tail_of[i] = tail.setdefault(word, len(tail))
+            hit = word_of[place]
+            mine, hit = row[hit >= 0], hit[hit >= 0]
+            sums = np.zeros((hi - lo) * head.width)
+            for i in range(0, len(hit), step):
+                first = head.starts[hit[i:i + step]]
+                size = head.starts[hit[i:i + step] + 1] - first
+                end = np.cumsum(size)
+                cell = np.repeat(first - (end - size), size) + np.arange(end[-1])
+                sums += np.bincount(np.repeat(mine[i:i + step], size) * head.width + head.places[cell], head.scores[cell], len(sums))
+            rest = tail_of[place]
+            pair, n = np.unique(row[rest >= 0] * max(len(tail), 1) + rest[rest >= 0], return_counts=True)
+            mine, rest = np.divmod(pair, max(len(tail), 1))
+            tails = pa.StructArray.from_arrays([pa.array(list(tail), pa.string()).take(pa.array(rest)), pa.array(n.astype(np.int64))], ["word", "c"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("did").slice(lo, hi - lo), _lists(np.full(hi - lo, head.width), pa.array(sums)),
+                 _lists(np.bincount(mine, minlength=hi - lo), tails)], ["did", "sums", "tail"])
 
 
 def _decide(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +275,9 @@ def _decide(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator
         yield pa.RecordBatch.from_arrays([b.column("did"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["did", "lang_pred", "score"])
 
 
+_TOTALS = pa.schema([("l", pa.int32()), ("lang", pa.string()), ("size", pa.int32()), ("total", pa.int64())])
+
+
 def _vectors(counts: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     """key, vec and n (over all languages). A key has a row for each language at most."""
     score = -F.log10(F.col("n") / F.col("total")) - F.lit(PENALTY)
@@ -277,7 +298,7 @@ def language_tables(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     counted = materialize_table(counted, "grams")
     totals |= {(r["lang"], r["size"]): r["total"] for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
     at = {lang: i for i, lang in enumerate(languages)}
-    sums = spark.createDataFrame([(at[lang], lang, size, n) for (lang, size), n in totals.items()], "l int, lang string, size int, total long")
+    sums = spark.createDataFrame(pa.Table.from_pylist([{"l": at[lang], "lang": lang, "size": size, "total": n} for (lang, size), n in totals.items()], _TOTALS))
     return Tables(languages, totals, (words, counted),
                   materialize_table(_vectors(words, sums.where("size = 0").drop("size"), ["lang"]), "word_table"),
                   materialize_table(_vectors(counted, sums, ["lang", "size"]), "gram_table"))
@@ -303,11 +324,15 @@ def _head(tables: Tables, head_words: int) -> Head:
     return Head(len(tables.languages), [(r["key"], [(v["l"], v["d"]) for v in r["vec"]]) for r in rows])
 
 
-def _lookup(rows: DataFrame, table: DataFrame, hot: int = HOT) -> DataFrame:
+def _keys(rows: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Each key and how many rows have it, written."""
+    return materialize_table(rows.groupBy("key").agg(F.count("*").alias("rows")), name, path)
+
+
+def _lookup(rows: DataFrame, keys: DataFrame, table: DataFrame, hot: int = HOT) -> DataFrame:
     """The rows with the vec of their key, inner. Keys with more than 1 / ``hot`` of the rows are joined by broadcast."""
-    n = rows.count()
-    often = rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") * hot > n).select("key")
-    often = materialize_table(often, "hot_keys")
+    n = keys.agg(F.sum("rows")).first()[0] or 0
+    often = materialize_table(keys.where(F.col("rows") * hot > n).select("key"), "hot_keys")
     table = table.select("key", "vec")
     return rows.join(F.broadcast(table.join(F.broadcast(often), "key", "left_semi")), "key") \
         .unionByName(rows.join(F.broadcast(often), "key", "left_anti").join(table, "key"))
@@ -317,7 +342,7 @@ def _piece(text: Column, n: int, at: Column) -> Column:
     return F.substring(text, at, F.lit(n))
 
 
-def _word_vectors(words: DataFrame, tables: Tables) -> DataFrame:
+def _word_vectors(words: DataFrame, tables: Tables, path: str) -> DataFrame:
     """key, vec of distinct words (key): from the word table, else the mean over the known grams of the longest length that has one."""
     known = words.join(tables.words.select("key", "vec"), "key", "left")
     known = materialize_table(known, "tail_words")
@@ -329,7 +354,7 @@ def _word_vectors(words: DataFrame, tables: Tables) -> DataFrame:
         places = F.when(F.char_length(padded) >= n, F.sequence(F.lit(1), F.char_length(padded) - n + 1)).otherwise(F.array().cast("array<int>"))
         rows = left.select("word", F.explode(F.transform(places, partial(_piece, padded, n))).alias("key"))
         rows = materialize_table(rows, f"tail_grams{n}")
-        sums = _lookup(rows, tables.grams).select("word", F.inline("vec")).groupBy("word", "l").agg(F.sum("d").alias("d"))
+        sums = _lookup(rows, _keys(rows, f"gram_keys{n}"), tables.grams).select("word", F.inline("vec")).groupBy("word", "l").agg(F.sum("d").alias("d"))
         vec = sums.groupBy("word").agg(F.collect_list(F.struct("l", "d")).alias("vec"))
         mean = F.expr("transform(vec, v -> named_struct('l', v.l, 'd', v.d / filter(vec, u -> u.l = -1)[0].d))")
         found = materialize_table(vec.select(F.col("word").alias("key"), mean.alias("vec")), f"tail_known{n}")
@@ -337,25 +362,49 @@ def _word_vectors(words: DataFrame, tables: Tables) -> DataFrame:
         left = materialize_table(left.join(found, left["word"] == found["key"], "left_anti"), f"tail_left{n}")
     # a word of which nothing is known counts with PENALTY for all
     none = F.array(F.struct(F.lit(-1).alias("l"), F.lit(1.0).alias("d")))
-    return materialize_table(out.unionByName(left.select(F.col("word").alias("key"), none.alias("vec"))), "tail_vectors")
+    return materialize_table(out.unionByName(left.select(F.col("word").alias("key"), none.alias("vec"))), "tail_vectors", path)
 
 
-def predict_languages(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
-    """One row per document: its id, ``lang_pred`` and ``score``."""
+@dataclass
+class Parts:
+    """What the predictions are made from, written: ``base`` (row, did, sums, tail), and of the tail's words, ``keys`` (key, rows)
+    and ``vectors`` (key, vec)."""
+    base: DataFrame
+    keys: DataFrame
+    vectors: DataFrame
+
+
+_PARTS = ("head_sums", "tail_keys", "tail_vectors")
+
+
+def _parts(docs: DataFrame, tables: Tables, paths: list[str], id_col: str, text_col: str, head_words: int = HEAD_WORDS) -> Parts:
     base = shipped(docs).select(F.col(id_col).cast("long").alias("did"), F.col(text_col).alias("text")) \
         .mapInArrow(partial(_head_sums, head=_head(tables, head_words)), "did long, sums array<double>, tail array<struct<word:string,c:long>>")
-    base = materialize_table(base.withColumn("row", F.monotonically_increasing_id()), "head_sums")
-    tail = base.select("row", F.inline("tail")).select("row", F.col("word").alias("key"), "c")
-    vectors = _word_vectors(tail.select("key").distinct(), tables)
-    sums = _lookup(tail, vectors).select("row", "c", F.inline("vec")).groupBy("row", "l").agg(F.sum(F.col("c") * F.col("d")).alias("d"))
+    base = materialize_table(base.withColumn("row", F.monotonically_increasing_id()), path=paths[0])
+    keys = _keys(base.select(F.inline("tail")).select(F.col("word").alias("key")), "tail_keys", paths[1])
+    return Parts(base, keys, _word_vectors(keys.select("key"), tables, paths[2]))
+
+
+def _predictions(parts: Parts, languages: list[str], id_col: str) -> DataFrame:
+    tail = parts.base.select("row", F.inline("tail")).select("row", F.col("word").alias("key"), "c")
+    sums = _lookup(tail, parts.keys, parts.vectors).select("row", "c", F.inline("vec")).groupBy("row", "l").agg(F.sum(F.col("c") * F.col("d")).alias("d"))
     more = sums.groupBy("row").agg(F.collect_list(F.struct("l", "d")).alias("more"))
-    out = base.select("row", "did", "sums").join(more, "row", "left").drop("row") \
-        .mapInArrow(partial(_decide, languages=tables.languages), "did long, lang_pred string, score double")
+    out = parts.base.select("row", "did", "sums").join(more, "row", "left").drop("row") \
+        .mapInArrow(partial(_decide, languages=languages), "did long, lang_pred string, score double")
     return out.withColumnRenamed("did", id_col)
 
 
+def predict_languages(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
+    """One row per document: its id, ``lang_pred`` and ``score``."""
+    with only_kept(docs.sparkSession, *_PARTS) as paths:
+        parts = _parts(docs, tables, paths, id_col, text_col, head_words)
+    return _predictions(parts, tables.languages, id_col)
+
+
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
     """Learns from the rows outside the held-out fold and predicts all rows; with ``held_out``."""
-    tables = language_tables(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
-    out = predict_languages(docs, tables, id_col, text_col, **how)
+    with only_kept(docs.sparkSession, *_PARTS) as paths:
+        tables = language_tables(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
+        parts = _parts(docs, tables, paths, id_col, text_col, **how)
+    out = _predictions(parts, tables.languages, id_col)
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")
