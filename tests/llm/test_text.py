@@ -210,6 +210,35 @@ def test_encoder_on_odd_pieces():
         assert encoder.encode(texts) == encoder.whole(texts)
 
 
+def test_encoder_on_runs_of_marks():
+    """Runs of marks behind letters, long ones, before digits and in several lines; words of one batch that another made known."""
+    rng = random.Random(5)
+    bits = ["a", "Été", "straße", "日", "7", *"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'", "###", "|>", "=" * 9, "…", "\u00ad", "\u0301", " ", " ", "\n", "<|endoftext|>"]
+    encoder = Encoder(tokenizer_path())
+    for _ in range(1500):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(rng.randrange(6))]
+        assert encoder.encode(texts) == encoder.whole(texts)
+
+
+def test_words_of_letters_skip_the_pre_tokenizer():
+    """Only a text's first piece needs it: the others go to the tokenizer's model, with the marks behind them counted once."""
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.model, self.characters = inner, inner.model, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.characters += sum(map(len, texts))
+            return self.inner.encode_batch_fast(texts, **how)
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdeéß", k=8)) + rng.choice(["", "", ",", ".", "###", ".\nÜber"]) for _ in range(300)) for _ in range(20)]
+    encoder = Encoder(tokenizer_path())
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    got = encoder.encode(texts)
+    assert counting.characters < sum(map(len, texts)) // 20
+    assert got == encoder.whole(texts)
+
+
 def test_token_files(spark, docs, empty):
     manifest = write_tokens(docs)
     got = read_tokens(manifest).collect()

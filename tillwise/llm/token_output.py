@@ -14,8 +14,9 @@ frame by frame, checksums verified.
 
 *Encoding.* The byte-level pre-tokenizer never joins text across a single blank between two characters
 that are no white space, nor letters with the mark behind them, so texts are cut there and the tokenizer sees each
-distinct piece once per worker (bounded cache); a batch's ids are gathered by piece number. Texts with other white space at such a cut are encoded whole. The ids are the same as of
-whole texts (tested), at several times the speed.
+distinct piece once per worker (bounded cache); a batch's ids are gathered by piece number. Letters alone are one unit of the
+pre-tokenizer, so they go to the tokenizer's model straight away, in its byte letters. Texts with other white space at such a
+cut are encoded whole. The ids are the same as of whole texts (tested), at several times the speed.
 
 Bounds. The manifest has a row per file. Nothing else meets in one task.
 
@@ -34,6 +35,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +54,9 @@ from tillwise.session import derived_path
 
 SKIPPABLE, SEEK_MAGIC, IDS_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 CACHE_PIECES, LEVEL = 500_000, 3
-#: Marks that end a run of letters without being part of a contraction.
-TAILS = frozenset(",.;:!?")
+#: Marks that end a run of letters without being part of a contraction; a run of them is one unit of the pre-tokenizer.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LONGEST_TAIL = 8
 _HEAD = struct.Struct("<qI")
 
 
@@ -62,11 +65,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def _core(word: str) -> str:
-    """Without the mark behind it."""
-    return word[:-1] if word[-1:] in TAILS else word
-
-
 class Encoder:
     """Token ids of texts as bytes (unsigned 32-bit, little endian), by the tokenizers library."""
 
@@ -74,14 +72,32 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        # ids of pieces that stand after a blank, those used lately and those used before (see _learn); b"" where a text cannot
+        # ids of pieces that stand after a blank, those used lately and those used before (see encode); b"" where a text cannot
         # be cut, and of words that stand after a line break
         self.rest: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_ids = np.array(self.line, "<u4").tobytes()
-        self.tails = {t: self.whole([t])[0] for t in TAILS}
+        self.tails: dict[str, bytes] = {"": b""}  # of marks behind letters
+        # the byte-level pre-tokenizer stands for a byte by its own Latin-1 character if that is printable, else by the next one from 256 on
+        plain = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]
+        self.byte_letters = np.zeros(256, "<u2")
+        self.byte_letters[plain] = plain
+        self.byte_letters[self.byte_letters == 0] = 256 + np.arange(256 - len(plain))
+        # straight to the model only where it gives what the whole tokenizer gives, whatever file that was read from
+        trial = ["a", "the", "Straße", "été", "\u4e2d\u6587", "zzqxjv"]
+        self.direct = False
+        self.direct = all(self._letters(trial, blank) == self.whole([blank + x for x in trial]) for blank in ("", " "))
+
+    def _letters(self, words: list[str], blank: str) -> list[bytes]:
+        """Ids of words of letters only, each one unit of the pre-tokenizer, by the tokenizer's model."""
+        mapped = self.byte_letters[np.frombuffer(("\n" + blank).join(["", *words]).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        tokenize = self.tokenizer.model.tokenize
+        ids = [[t.id for t in tokenize(x)] for x in mapped.split(chr(self.byte_letters[10]))[1:]]
+        heads = np.cumsum([0, *map(len, ids)]).tolist()
+        raw = np.fromiter(chain.from_iterable(ids), "<u4", heads[-1]).tobytes()
+        return [raw[4 * x:4 * y] for x, y in zip(heads[:-1], heads[1:], strict=True)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,16 +111,24 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * x + 4:4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Adds pieces to the cache. At CACHE_PIECES, what was not used since the last time is forgotten."""
-        if len(self.rest) > CACHE_PIECES:
-            self.rest, self.old = {}, self.rest
-        new = pieces - self.rest.keys()
-        if self.old:
-            again = new & self.old.keys()
-            self.rest.update((p, self.old[p]) for p in again)
-            new -= again
-        rest, old, plain, bare, inside, marked, built = self.rest, self.old, set(), set(), [], [], []
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.tails[marks] = self.whole([marks])[0]
+        return self.tails[marks]
+
+    @staticmethod
+    def _lines(piece: str) -> list[tuple[str, str]]:
+        """A piece's words, one a line, and their letters; empty if it is not made of letters with marks behind them."""
+        lines = [(x, x.rstrip(MARKS)) for x in piece.split("\n")]
+        return lines if all(c.isalpha() and len(x) - len(c) <= LONGEST_TAIL for x, c in lines) else []
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds distinct pieces that are not in ``rest``."""
+        if len(self.bare) > CACHE_PIECES:
+            self.bare = {}
+        rest, old, letters, plain, bare, inside, marked, built = self.rest, self.old, set(), [], set(), [], [], []
 
         def need(core: str) -> None:
             """Learns letters that a piece begins with."""
@@ -112,39 +136,38 @@ class Encoder:
                 if core in old:
                     rest[core] = old[core]
                 else:
-                    plain.add(core)
-
-        for p in new:
-            if p.isalpha():
-                plain.add(p)
-            elif p[-1:] in TAILS and (core := p[:-1]).isalpha():
-                marked.append(p)  # the pre-tokenizer ends a run of letters at the mark, so the ids of both stand side by side
+                    letters.add(core)
+
+        for p in pieces:
+            if p in old:
+                rest[p] = old[p]
+            elif p.isalpha():
+                letters.add(p)
+            elif (core := p.rstrip(MARKS)).isalpha() and len(p) - len(core) <= LONGEST_TAIL:
+                marked.append((p, core))  # the pre-tokenizer ends a run of letters at the mark, so the ids of both stand side by side
                 need(core)
             elif not p or p[0].isspace() or p[-1].isspace():
                 rest[p] = b""  # no cut next to other white space
-            elif "\n" in p and all(_core(x).isalpha() for x in p.split("\n")):
-                lines = p.split("\n")
-                built.append(lines)  # words, one a line: a single line break between them is a token of its own
-                need(_core(lines[0]))
-                bare.update(map(_core, lines[1:]))
+            elif "\n" in p and (lines := self._lines(p)):
+                built.append((p, lines))  # words, one a line: a single line break between them is a token of its own
+                need(lines[0][1])
+                bare.update(c for _, c in lines[1:])
             elif p.isprintable() and not p.startswith("<|"):
-                plain.add(p)
+                plain.append(p)
             else:
                 inside.append(p)
-        if len(self.bare) > CACHE_PIECES:
-            self.bare = {}
-        for known, found, blank in ((rest, list(plain), " "), (self.bare, list(bare - self.bare.keys()), "")):
+        alone = self._letters if self.direct else self._many
+        for known, found, blank, ids in ((rest, list(letters), " ", alone), (self.bare, list(bare - self.bare.keys()), "", alone), (rest, plain, " ", self._many)):
             for i in range(0, len(found), 4096):
-                known.update(zip(found[i:i + 4096], self._many(found[i:i + 4096], blank), strict=True))
+                known.update(zip(found[i:i + 4096], ids(found[i:i + 4096], blank), strict=True))
         rest.update(zip(inside, self.whole([" " + p for p in inside]), strict=True))
-        tails = self.tails
-        for p in marked:
-            rest[p] = rest[p[:-1]] + tails[p[-1]]
-        for lines in built:
-            ids = [rest[_core(lines[0])], tails.get(lines[0][-1], b"")]
-            for x in lines[1:]:
-                ids += [self.line_ids, self.bare[_core(x)], tails.get(x[-1], b"")]
-            rest["\n".join(lines)] = b"".join(ids)
+        for p, core in marked:
+            rest[p] = rest[core] + self._tail(p[len(core):])
+        for p, lines in built:
+            ids = [rest[lines[0][1]], self._tail(lines[0][0][len(lines[0][1]):])]
+            for x, core in lines[1:]:
+                ids += [self.line_ids, self.bare[core], self._tail(x[len(core):])]
+            rest[p] = b"".join(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Pieces are told apart once a batch; their ids are gathered by position, not piece by piece."""
@@ -153,21 +176,25 @@ class Encoder:
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         at = cut.offsets.to_numpy()
         coded = cut.values.dictionary_encode()
-        which, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which, known = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del cut, coded
         heads = [known[i] for i in which[at[:-1]].tolist()]  # nothing stands before them
         which[at[:-1]] = len(known) + np.arange(len(texts))
-        self._learn(set(known))
-        ids = list(map(self.rest.__getitem__, known))
+        if len(self.rest) > CACHE_PIECES:  # what was not used since the last time is forgotten
+            self.rest, self.old = {}, self.rest
+        ids = list(map(self.rest.get, known))
+        new = [i for i, x in enumerate(ids) if x is None]
+        self._learn([known[i] for i in new])
+        for i in new:
+            ids[i] = self.rest[known[i]]
         ids += [b"" if not h or h[-1].isspace() else x for h, x in zip(heads, self.whole(heads), strict=True)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        odd = np.logical_or.reduceat((size == 0)[which], at[:-1])
-        first = np.cumsum(size) - size
-        tokens = np.frombuffer(b"".join(ids), "<u4")
-        run = size[which]
-        end = np.cumsum(run)
-        out = tokens[np.repeat(first[which] - (end - run), run) + np.arange(end[-1])].tobytes()
-        border = (4 * np.concatenate(([0], end))[at]).tolist()
-        done = [out[lo:hi] for lo, hi in zip(border[:-1], border[1:], strict=True)]
+        empty = np.fromiter(map(len, ids), np.int64, len(ids)) == 0
+        odd = np.logical_or.reduceat(empty[which], at[:-1])
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(which))
+        _, ends, out = joined.buffers()
+        border = np.frombuffer(ends, np.int64)[:len(joined) + 1][at].tolist()
+        out = memoryview(out) if out is not None else b""
+        done = [bytes(out[lo:hi]) for lo, hi in zip(border[:-1], border[1:], strict=True)]
         again = np.flatnonzero(odd).tolist()
         for i, x in zip(again, self.whole([texts[i] for i in again]), strict=True):
             done[i] = x
@@ -272,7 +299,7 @@ def _write(batches: Iterable[pa.RecordBatch], folder: str, path: str, end_id: in
             for doc_id, ids in zip(rows.column("did").to_pylist(), encoder.encode(texts), strict=True):
                 writer.add(doc_id, ids + end)
             done += 1
-            if done % 4 == 0:
+            if done % 16 == 0:
                 trim()
     trim()
     if writer is not None:
