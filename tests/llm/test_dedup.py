@@ -13,7 +13,7 @@ from llm_fixtures import docs, empty, prose  # noqa: F401
 from tillwise.llm.components import connected_components
 from tillwise.llm.line_dedup import PARTS, _verified, bounded_distance, dedup_lines, line_classes, line_links, line_report
 from tillwise.llm.minhash import drop_near_duplicates, near_duplicates
-from tillwise.llm.substring_dedup import ANCHOR, _frequent_runs, _runs, dedup_substrings
+from tillwise.llm.substring_dedup import ANCHOR, _by_document, _frequent_runs, _runs, dedup_substrings
 from tillwise.llm.words import Words, signed
 
 
@@ -64,6 +64,22 @@ def test_equal_frequent_runs_are_one_row():
     assert len(got) < len(n) / 2
 
 
+def test_marked_runs_are_not_unfolded(spark):
+    """Places of a frequent passage reach their documents as one row a document, not one an occurrence."""
+    rng = random.Random(6)
+    base = prose(rng, 400, 9000).split()
+    rows = [(k, " ".join(base[:4 * k] + [f"x{k}"] + base[4 * k + 1:] + prose(rng, 20, 9000).split())) for k in range(90)]
+    out = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), group_limit=5)
+    plan = out._jdf.queryExecution().toString()
+    assert "inline(places" not in plan and "_by_document(" in plan
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()) == sorted(fixtures.substring_dedup(rows))
+    kind = "array<struct<places:array<struct<rid:bigint,did:bigint,start:int>>,mask:bigint>>"
+    chunks = spark.createDataFrame([([([(1, 5, 9), (2, 6, 0), (1, 5, 0)], 3), ([(2, 6, 40)], 1)],), ([([(3, 7, 2)], 7)],)], f"runs {kind}").coalesce(1)
+    got = [r for b in _by_document(iter(chunks.toArrow().to_batches())) for r in b.to_pylist()]
+    assert [(r["rid"], [(m["did"], m["start"], m["mask"]) for m in r["marks"]]) for r in got] == [
+        (1, [(5, 0, 3), (5, 9, 3)]), (2, [(6, 0, 3), (6, 40, 1)]), (3, [(7, 2, 7)])]
+
+
 def test_substrings_empty(empty):
     assert dedup_substrings(empty).collect() == []
 

@@ -17,7 +17,8 @@ corpus-wide, the subtrees are built group by group, each group small enough for
    slices meet in one task. A more frequent prefix is extended to the passage's full length; such a
    group is one node, so counting it (with map-side combining) replaces the tree, at any skew. Runs of
    passages that are equal as a whole are counted first, so copies of a hot passage are one row; those
-   of one chunk of documents travel as one row with their places.
+   of one chunk of documents travel as one row with their places, and the marked runs of a chunk meet again
+   and leave as one row a document.
 4. *Subtrees.* In each group the suffixes are sorted word by word; neighbours that agree on at least
    ``min_words`` words hang under one deep inner node. Deep inner nodes with two leaves or more are
    the repeats; in each document, runs of them join to maximal repeated spans.
@@ -126,7 +127,7 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iter
 
 def _frequent_runs(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """The runs of windows under a very frequent anchor: a 128-bit fingerprint of the run, one of each of its windows, and the
-    places where it occurs. Equal runs of a chunk are one row."""
+    places where it occurs. Equal runs of a chunk are one row; ``chunk`` is the same for all rows of one."""
     kind = pa.struct([("f1", pa.int64()), ("f2", pa.int64())])
     for b in batches:
         rid, did = b.column("rid").to_numpy(), b.column("did").to_numpy()
@@ -151,7 +152,23 @@ def _frequent_runs(batches: Iterator[pa.RecordBatch], length: int, anchor: int)
                                                  pa.array((p - w.first[doc])[order].astype(np.int32))], ["rid", "did", "start"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(r1[one])), pa.array(signed(r2[one])), pa.array(n[one].astype(np.int32)), windows.take(pa.array(one)),
-                 pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), places)], ["r1", "r2", "n", "windows", "places"])
+                 pa.array(np.full(len(one), rid[lo])), pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), places)],
+                ["r1", "r2", "n", "windows", "chunk", "places"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marked runs of whole chunks, as one row a document."""
+    for b in batches:
+        for i in range(b.num_rows):
+            runs = b.column("runs").slice(i, 1).flatten()
+            places = runs.field("places")
+            mask = runs.field("mask").to_numpy()[pc.list_parent_indices(places).to_numpy()]
+            rid, did, start = (places.flatten().field(c).to_numpy() for c in ("rid", "did", "start"))
+            order = np.lexsort((start, rid))
+            heads = np.flatnonzero(np.concatenate(([True], np.diff(rid[order]) != 0)))
+            marks = pa.StructArray.from_arrays([pa.array(x[order]) for x in (did, start, mask)], ["did", "start", "mask"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rid[order][heads]), pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), marks)], ["rid", "marks"])
 
 
 def _deep_nodes(t: pa.Table, length: int) -> pa.RecordBatch:
@@ -278,7 +295,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .mapInArrow(partial(_subtrees, length=min_words), "rid long, did long, start int, mask long")
     runs = candidates.where(F.size("heavy") > 0) \
         .mapInArrow(partial(_frequent_runs, length=min_words, anchor=anchor),
-                    "r1 long, r2 long, n int, windows array<struct<f1:bigint,f2:bigint>>, places array<struct<rid:bigint,did:bigint,start:int>>")
+                    "r1 long, r2 long, n int, windows array<struct<f1:bigint,f2:bigint>>, chunk long, places array<struct<rid:bigint,did:bigint,start:int>>")
     # a run that occurs twice is all repeated; of one that occurs once, each window may occur in another run
     distinct = runs.groupBy("r1", "r2").agg(F.sum(F.size("places")).alias("c"), F.any_value("n").alias("n"), F.any_value("windows").alias("windows"))
     nodes = distinct.select("c", F.inline("windows")).groupBy("f1", "f2").agg(F.sum("c").alias("c")).where("c > 1").drop("c")
@@ -286,9 +303,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("r1", "r2", "at", "f.f1", "f.f2").join(nodes, ["f1", "f2"]) \
         .groupBy("r1", "r2").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     twice = distinct.where("c > 1").select("r1", "r2", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
-    deep = runs.select("r1", "r2", "places").join(single.unionByName(twice), ["r1", "r2"]).select(F.inline("places"), "mask")
-    marks = trees.unionByName(deep).groupBy("rid").agg(F.collect_list(F.struct("did", "start", "mask")).alias("marks"))
-    no_marks: Column = F.array().cast("array<struct<did:bigint,start:int,mask:bigint>>")
+    kind = "array<struct<did:bigint,start:int,mask:bigint>>"
+    deep = runs.select("r1", "r2", "chunk", "places").join(single.unionByName(twice), ["r1", "r2"]) \
+        .groupBy("chunk").agg(F.collect_list(F.struct("places", "mask")).alias("runs")).mapInArrow(_by_document, f"rid long, marks {kind}")
+    marks = trees.select("rid", F.array(F.struct("did", "start", "mask")).alias("marks")).unionByName(deep) \
+        .groupBy("rid").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    no_marks: Column = F.array().cast(kind)
     schema = "did long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
         schema += ", kept_text string, removed array<struct<start:int,end:int>>"
